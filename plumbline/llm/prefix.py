@@ -19,7 +19,9 @@ def prefix_sums(scratch: common.Scratch, df: DataFrame, keys: list[str], order:
     """
     # null keys get a text of their own, so that joins and windows below share one partitioning
     named = {k: F.when(F.col(k).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(k).cast("string"))) for k in keys}
-    ranged = df.withColumns({f"_k_{k}": c for k, c in named.items()}).repartitionByRange(common.partitions(df.sparkSession), *[f"_k_{k}" for k in keys], *order)
+    # written first: the range partitioning reads its input twice, once for a sample
+    narrow = scratch.keep(df, "narrow")
+    ranged = narrow.withColumns({f"_k_{k}": c for k, c in named.items()}).repartitionByRange(common.partitions(df.sparkSession), *[f"_k_{k}" for k in keys], *order)
     rows = scratch.keep(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
     by = [f"_k_{k}" for k in keys]
     totals = rows.groupBy("_part", *by).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
