@@ -70,7 +70,7 @@ def shingle_set(text: bytes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)], np.uint64)
-    new = set(words) - _words.keys()
+    new = {w for w in set(words) if w not in _words}
     if new:
         if len(_words) + len(new) > _WORDS_LIMIT:
             _words.clear()

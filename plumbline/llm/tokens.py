@@ -106,7 +106,7 @@ class Encoder:
         if b"<|" in data:
             return self.plain(data)
         words = (data.lower() if data.isascii() else data).split()
-        new = set(words) - self.cache.keys()
+        new = {w for w in set(words) if w not in self.cache}
         if new:
             if len(self.cache) + len(new) > self.limit:
                 self.cache.clear()
