@@ -270,6 +270,7 @@ def components(scratch: common.Scratch, edges: DataFrame, name: str) -> DataFram
         # the least label among a node's neighbours, then that label's own label: paths halve
         near = kept.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        low = scratch.keep(low, f"{name}-low-{step}")  # a table, so that the rows of a frequent label can be split
         roots = low.select(F.col("node").alias("r"), F.col("label").alias("root"))
         jumped = low.join(roots, F.col("label") == F.col("r"), "left").select("node", F.least("label", F.coalesce("root", "label")).alias("label"), "old")
         new = scratch.keep(jumped, f"{name}-{step}")

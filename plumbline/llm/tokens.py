@@ -17,6 +17,7 @@ Layout, little-endian::
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -60,6 +61,15 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return (planes.astype("<u4") << np.arange(bits, dtype="<u4")).sum(axis=1, dtype="<u4")
 
 
+#: Words of printable ASCII but the apostrophe, and Latin letters that lower() maps to one letter: their
+#: normal form is their lower case, and their pre-tokens are runs of letters, single digits and runs of the rest.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: The byte-level alphabet: a byte that is a printable Latin-1 character is itself, the others follow from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
+
+
 class Encoder:
     """Ids of whole texts by a `tokenizers` file, with a cache of words.
 
@@ -69,7 +79,7 @@ class Encoder:
     hold a special token's string take the plain path.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -88,17 +98,25 @@ class Encoder:
         ids = self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
+    def run(self, part: str) -> bytes:
+        """Ids of one pre-token in lower case, letters of the byte-level alphabet standing for its UTF-8 bytes."""
+        key = part.encode()
+        if key not in self.cache:
+            ids = [t.id for t in self.model.tokenize(part if part.isascii() else key.decode("latin-1").translate(BYTE_LETTERS))]
+            self.cache[key] = struct.pack(f"<{len(ids)}I", *ids)
+        return self.cache[key]
+
     def learn(self, words: set[bytes]) -> None:
         rest = []
         for w in words:
-            if w.isalpha() and w.islower():  # ASCII letters: the normaliser leaves them, the pre-tokeniser keeps them whole
-                ids = [t.id for t in self.model.tokenize(w.decode())]
-                self.cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+            text = w.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text):
+                self.cache[w] = b"".join([self.run(part) for part in RUNS.findall(text.lower())])
             else:
-                rest.append(w)
+                rest.append((w, text))
         if rest:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
-            for w, e in zip(rest, found, strict=True):
+            found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+            for (w, _), e in zip(rest, found, strict=True):
                 self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, data: bytes) -> bytes:
