@@ -36,9 +36,9 @@ UNIT = 64
 #: Least, mean (a power of two) and largest bytes of a chunk.
 LEAST, MEAN, MOST = 512, 2048, 16384
 #: Bytes of chunks compressed together.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: zstandard level of the first packs, which are short-lived, and of the stored ones.
-LEVELS = (3, 9)
+LEVELS = (9, 12)
 MAGIC = b"PLPACK01"
 TRAILER = struct.Struct("<QQ8s")
 
