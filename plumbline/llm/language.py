@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import common
 
 #: Documents a language that training reads, and words a language that it keeps (most frequent first): the documented bounds.
-PER_LANGUAGE, WORDS_KEPT = 400, 40_000
+PER_LANGUAGE, WORDS_KEPT = 300, 15_000
 ROUNDS = 4
 #: Probability of a letter that is no piece, added count of each piece, and the most letters scored at once.
 FLOOR, ADDED, STRETCH = 1e-7, 0.05, 40
@@ -240,7 +240,7 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
-def train(spark: SparkSession, docs: DataFrame, pieces_path: str, per_language: int = PER_LANGUAGE) -> Model:
+def train(spark: SparkSession, scratch: common.Scratch, docs: DataFrame, pieces_path: str, per_language: int = PER_LANGUAGE) -> Model:
     """A model from about per_language documents of each lang of docs (lang, text, doc_id); rows without lang are left out.
 
     Documents are drawn by a hash of their id, at the rate that their language's
@@ -263,6 +263,7 @@ def train(spark: SparkSession, docs: DataFrame, pieces_path: str, per_language:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "word": pa.array([k[1] for k in found], pa.string()), "n": pa.array(found.values(), pa.int64())})
 
     words = drawn.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = scratch.keep(words, "words")
     counts = [{r.word: r.n for r in words.filter(F.col("lang") == k).orderBy(F.desc("n"), "word").limit(WORDS_KEPT).collect()} for k in languages]
     total = sum(sizes.values())
     return Model(languages, tuple(pieces), fit(counts, pieces), np.log(np.array([sizes[k] / total for k in languages])))
@@ -280,7 +281,7 @@ def identify(spark: SparkSession, docs: DataFrame, pieces_path: str, folds: int
     """
     scratch = common.Scratch(spark, "language")
     held = common.held_out(F.col("doc_id"), folds, fold)
-    model = train(spark, docs.filter(~held), pieces_path)
+    model = train(spark, scratch, docs.filter(~held), pieces_path)
     packed = pickle.dumps(model)
     key = hash(scratch.root)
 
