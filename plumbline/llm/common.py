@@ -148,6 +148,15 @@ def spread(spark: SparkSession, df: DataFrame, n: int) -> DataFrame:
     return df.coalesce(1).repartition(max(1, n))
 
 
+#: Most rows that are broadcast; their number is known where this is asked.
+SMALL_ROWS = 50_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for a broadcast if its known number of rows is small; else Spark's joins decide."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 def held_out(key, folds: int, fold: int):
     """crc32 of the id as text, modulo folds, equals fold; a null id is not held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))

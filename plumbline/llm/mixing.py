@@ -80,14 +80,14 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0,
     found = targets({r.source: r["size"] for r in sized}, list(weights), share, epochs)
     plan = spark.createDataFrame([(t.source, t.size, t.target, *_repeats(t)) for t in found], "_source string, source_size long, target double, _whole long, _rest double")
     drawn = (F.col("_rest") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("_rest"))
-    last = placed.join(plan, F.col("source").eqNullSafe(F.col("_source"))).filter(drawn).groupBy("source").agg(F.max(F.struct("draw", "doc_id", "size")).alias("_last"))
+    last = placed.join(common.small(plan, len(found)), F.col("source").eqNullSafe(F.col("_source"))).filter(drawn).groupBy("source").agg(F.max(F.struct("draw", "doc_id", "size")).alias("_last"))
     lasts = {r.source: tuple(r._last) for r in last.collect()}
     plan = spark.createDataFrame([(t.source, t.size, t.target, *_repeats(t), lasts.get(t.source)) for t in found], "_source string, source_size long, target double, _whole long, _rest double, _last struct<draw: string, doc_id: long, size: long>")
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "times", "taken")]
     sized_docs = docs.select(*own, size.alias("size"))
     here = F.struct(draw.alias("draw"), F.col("doc_id").cast("long").alias("doc_id"), F.col("size"))
     more = F.when(here <= F.col("_last"), 1).otherwise(0)
-    mixed = sized_docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    mixed = sized_docs.join(common.small(plan, len(found)), F.col("source").cast("string").eqNullSafe(F.col("_source")))
     times = (F.col("_whole") + more).alias("times")
     return mixed.select(*own, "size", "source_size", "target", times).withColumn("taken", F.col("size") * F.col("times"))
 
