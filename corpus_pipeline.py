@@ -7,7 +7,7 @@ shared folder and reads it back as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import common, exact_dedup, mixing, near_dedup, packing, quality
@@ -16,6 +16,7 @@ from plumbline.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents that score below are rejected.
 THRESHOLD = 0.3
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +26,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_documents(docs.select(*COLUMNS), model).filter(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
 
-def _keep(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """Documents that the result keeps; ids are unique here, but for those of repeated rows, which go by their verdict."""
-    dropped = result.filter("not kept").select(F.col("doc_id").alias("of"))
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select(*COLUMNS)
+def _keep(docs: DataFrame, result: DataFrame, text: Column) -> DataFrame:
+    """Documents that the result keeps, told apart by doc_id and the SHA-256 of their text as the operator took it.
+
+    Only what goes is joined, which may be little. Of rows that repeat both
+    and of which one is kept, one stays.
+    """
+    verdicts = result.groupBy(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = verdicts.filter("not stays or n > 1")
+    marked = docs.select(*COLUMNS, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("sha_")).withColumnRenamed("doc_id", "id_")
+    same = F.col("id_").eqNullSafe(F.col("of")) & (F.col("sha_") == F.col("sha"))
+    once = marked.join(odd, same, "left_anti")
+    repeated = marked.join(odd.filter("stays"), same, "left_semi").dropDuplicates(["id_", "sha_"])
+    return once.unionByName(repeated).withColumnRenamed("id_", "doc_id").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts."""
-    return _keep(docs, exact_dedup.exact_dedup(spark, docs))
+    return _keep(docs, exact_dedup.exact_dedup(spark, docs), F.translate("text", UPPER, UPPER.lower()))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
-    return _keep(docs, near_dedup.near_dedup(spark, docs))
+    return _keep(docs, near_dedup.near_dedup(spark, docs), F.col("text"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ left outside their star's largest component, against all other blocks.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable
 
@@ -41,7 +42,7 @@ WORDS = 5
 #: The similarity, as a fraction of integers.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Nodes that are compared with one another in one task.
-BLOCK = 512
+BLOCK = 256
 #: Chance that a pair of the similarity is missed by the sketches.
 MISS = 1e-9
 
@@ -118,20 +119,21 @@ def least_estimate(k: int = K) -> float:
     return next(x for x in range(k, 0, -1) if tail(k, t, x) <= MISS) / k
 
 
-NODES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-NODES_DDL = "doc_id long, n_shingles long, node binary, sketch array<long>"
+NODES = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+NODES_DDL = "doc_id long, text_sha256 string, n_shingles long, node binary, sketch array<long>"
 
 
 def _sketches(batches: Iterable[pa.RecordBatch]):
     for batch in batches:
         ids = batch.column(0).cast(pa.int64())
-        sizes, nodes, sketches = [], [], []
+        sizes, nodes, sketches, digests = [], [], [], []
         for text in common.text_bytes(batch.column(1)):
+            digests.append(hashlib.sha256(text).hexdigest())
             values = shingle_set(text)
             sizes.append(len(values))
             nodes.append(set_key(values) if len(values) else None)
             sketches.append(values[:K].view(np.int64) if len(values) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema=NODES)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema=NODES)
 
 
 def _sets(batches: Iterable[pa.RecordBatch]):
@@ -283,15 +285,15 @@ def components(scratch: common.Scratch, edges: DataFrame, name: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """A row for each of docs (doc_id, text): doc_id, n_shingles, component_id, kept, text_sha256.
 
     Documents are linked if 100 x intersection >= 75 x union of their shingle
     sets (see shingle_set); component_id is the smallest doc_id that links lead
     to. A null text, or one without words, has no set and is linked with
     nothing. Documents of fewer than 5 words have one shingle, so they are
     linked with their equals. A null doc_id never is the smallest of others; on
-    its own it is kept and its component_id is null. Rows that repeat a doc_id
-    are kept or not alike. An empty table gives no rows; other columns are
+    its own it is kept and its component_id is null. Of rows that repeat a
+    doc_id each is kept by its own component. An empty table gives no rows; other columns are
     ignored.
     """
     scratch = common.Scratch(spark, "near")
@@ -308,7 +310,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> Data
     alone = nodes.select(F.col("node").alias("of"), F.col("first_id")).join(classes, "of", "left").select("of", F.coalesce("component_id", "first_id").alias("component_id"))
     classes = scratch.keep(alone, "all-classes")
     out = rows.join(classes, F.col("node") == F.col("of"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_sha256")
 
 
 def _stars(scratch: common.Scratch, sketched: DataFrame) -> DataFrame:

@@ -55,3 +55,20 @@ def test_stages(spark, sf_dir):
     assert total == sum(r.doc_tokens for r in kept[4] if r.start == 0) and len([r for r in kept[4] if r.start == 0]) == len(kept[3])
     run = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(map(str, ((r.doc_id, r.start, r.length, r.ids_crc32) for r in run))) is not None and sum(r.length for r in run) == total
+
+
+def test_stages_on_awkward_rows(spark, docs, rows, no_docs, tmp_path):
+    """Nulls, repeats and clashing names: each stage keeps what it should, no more and no less."""
+    sf = str(tmp_path)
+    spark.createDataFrame([(k, int(k % 7 != 0), 0) for k in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    one = corpus_pipeline.quality_stage(spark, docs, sf)
+    assert one.columns == corpus_pipeline.COLUMNS
+    upper = {ord(a): ord(a) + 32 for a in corpus_pipeline.UPPER}
+    exact = corpus_pipeline.exact_stage(spark, docs, sf).collect()
+    assert sorted((r.text or "").translate(upper) for r in exact) == sorted({(r[1] or "").translate(upper) for r in rows})
+    near = corpus_pipeline.near_stage(spark, docs, sf).collect()
+    want = {(d, c) for d, _, c in brute_components(rows)}
+    assert {r.doc_id for r in near} == {d for d, c in want if d == c}
+    assert len(corpus_pipeline.mixing_stage(spark, docs, sf).collect()) > len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, sf).collect() == []
