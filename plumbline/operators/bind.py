@@ -16,7 +16,10 @@ ROW = "__row"
 
 @dataclass
 class Table:
-    """A delivered table. df has the row identity and the matched columns, named as their attributes."""
+    """A delivered table. base has the row identity, the matched columns, named as their attributes, and the groups.
+
+    df is base with the columns that rules across rows add; other tables read base.
+    """
 
     name: str
     df: DataFrame
@@ -24,12 +27,22 @@ class Table:
     types: dict[str, str]
     extra: list[str]
     text_input: bool = False
+    base: DataFrame | None = None
+    memo: dict = field(default_factory=dict)  # expressions built once a column: building them is most of a small run's time
 
     def has(self, attribute: str) -> bool:
         return attribute in self.types
 
     def text(self, a: Attribute, spec: Spec) -> Column:
-        return V.value_text(F.col(a.name), self.types[a.name], spec.type_of(a).date_format)
+        return self.once(("text", a.name), lambda: V.value_text(F.col(a.name), self.types[a.name], spec.type_of(a).date_format))
+
+    def number(self, a: Attribute, whole: bool = False) -> V.Number:
+        return self.once(("number", a.name, whole), lambda: V.read_number(F.col(a.name), self.types[a.name], whole))
+
+    def once(self, key: tuple, build):
+        if key not in self.memo:
+            self.memo[key] = build()
+        return self.memo[key]
 
 
 @dataclass
@@ -83,8 +96,12 @@ def bind(spark: SparkSession, spec: Spec, tables: dict[str, DataFrame], text_tab
         raise ValueError(f"no attribute is named {', '.join(unknown)}")
     bare = {n: t.df for n, t in out.items()}  # routes read tables as delivered, not with the columns added here
     for t in out.values():
-        for g in dict.fromkeys([*b.group_cols, *([key_col] if key_col else [])]):
+        wanted = list(dict.fromkeys([*b.group_cols, *([key_col] if key_col else [])]))
+        for g in wanted:
             t.df = add_group(b, bare, t, g)
+        if any(spec.routes(t.name, g) for g in wanted):
+            t.df = b.work.keep(t.df)  # the routes are walked once, not in every pass over the table
+        t.base = t.df
     return b
 
 
@@ -177,7 +194,7 @@ def read_chain(b: Bound, df: DataFrame, table: str, text: str, out: str) -> tupl
     kind = b.tables[home].types[name]
     if not steps:
         return df.withColumn(out, F.col(name)), kind
-    frames = {n: t.df for n, t in b.tables.items()}
+    frames = {n: t.base for n, t in b.tables.items()}
     unit = [b.groups[0]] if b.groups else []
     joined = follow(b, frames, df, steps, lambda end: {out: F.col(name), **{f"{out}__unit": F.col(u) for u in unit}})
     return joined.drop("__state"), kind

@@ -154,7 +154,7 @@ def decode(b: Bound, issues: DataFrame, flags: dict[str, dict[str, Column]] | No
         found = b.work.keep(decode_table(b, t, (flags or {}).get(name)))
         shared = found.filter(F.col("provider_key_status").isin("decoded", "partial")).groupBy("provider_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("provider_key", F.lit(True).alias("shared"))
         found = found.join(shared, "provider_key", "left")
-        n = t.df.groupBy(F.shiftright(ROW, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        n = t.base.groupBy(F.shiftright(ROW, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
         first, at = [], 0
         for r in sorted(n, key=lambda r: r.p):
             first.append((r.p, at))
@@ -173,7 +173,7 @@ def verify_positions(b: Bound, issues: DataFrame) -> DataFrame:
     """Issues whose row no longer holds their key; empty if issues and tables belong together."""
     parts = None
     for name, t in b.tables.items():
-        one = t.df.select(F.lit(name).alias("__t"), key_text(b.spec, t).alias("__pk")).filter("__pk is not null").distinct()
+        one = t.base.select(F.lit(name).alias("__t"), key_text(b.spec, t).alias("__pk")).filter("__pk is not null").distinct()
         parts = one if parts is None else parts.unionByName(one)
     own = issues.filter("level = 'record' and not pk_positional")
     return own.join(parts, (F.col("table_name") == F.col("__t")) & (F.col("record_pk") == F.col("__pk")), "left_anti")

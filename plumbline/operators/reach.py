@@ -32,8 +32,8 @@ def walk(b: Bound, links: list[tuple[Edge, str]], start: dict[str, DataFrame]) -
             fk, pk = spec.attribute(e.table, e.attribute), spec.attribute(e.parent, e.parent_key)
             child_key, parent_key = B.join_key(spec, child, fk, pk), B.join_key(spec, parent, pk, fk)
             (nt, nk), (ft, fk_) = ((parent, parent_key), (child, child_key)) if how == "from_parent" else ((child, child_key), (parent, parent_key))
-            near_keys = nt.df.select(ROW, nk.alias("__key")).join(reached[near], ROW, "left_semi").select("__key").filter("__key is not null").distinct()
-            new = ft.df.select(ROW, fk_.alias("__key")).join(near_keys, "__key", "left_semi").select(ROW)
+            near_keys = nt.base.select(ROW, nk.alias("__key")).join(reached[near], ROW, "left_semi").select("__key").filter("__key is not null").distinct()
+            new = ft.base.select(ROW, fk_.alias("__key")).join(near_keys, "__key", "left_semi").select(ROW)
             total = new.union(reached[far]).distinct() if far in reached else new
             kept = b.work.keep(total)
             n = kept.count()
@@ -64,7 +64,7 @@ def unreachable(ctx: Context) -> list[Check]:
     firsts = [spec.primary_key(t)[0] for t in walked if spec.primary_key(t)]
     if not all(t in b.tables for t in roots):
         return [not_run("record_unreachable", a.table, a.name, "no_table") for a in firsts]
-    start = {t: b.tables[t].df.select(ROW) for t in roots}
+    start = {t: b.tables[t].base.select(ROW) for t in roots}
     reached = walk(b, usable, start)
     loose: dict[str, DataFrame] = dict(start)
     for e, how in followed:
@@ -75,7 +75,7 @@ def unreachable(ctx: Context) -> list[Check]:
         if t is None:
             continue
         name, other = (e.attribute, spec.attribute(e.parent, e.parent_key)) if how == "from_parent" else (e.parent_key, spec.attribute(e.table, e.attribute))
-        could = t.df.select(ROW) if not t.has(name) else t.df.filter(B.join_key(spec, t, spec.attribute(far, name), other).isNotNull()).select(ROW)
+        could = t.base.select(ROW) if not t.has(name) else t.base.filter(B.join_key(spec, t, spec.attribute(far, name), other).isNotNull()).select(ROW)
         loose[far] = loose[far].union(could).distinct() if far in loose else could
     possible = walk(b, usable, loose) if len(usable) < len(followed) else None
 

@@ -105,25 +105,23 @@ def cells_of(ctx: Context, t: Table, checks: list[Check]) -> DataFrame | None:
             effective[f"__e{c.index}"] = F.col(f"__f{c.index}") & root.isNull()
             by_column.setdefault(c.column, []).append(c)
         df = df.withColumns(effective)
-    null = F.lit(None).cast("string")
+    null, no = F.lit(None).cast("string"), F.lit(False)
     for c in checks:
         a = spec.attribute(c.table, c.column)
         own = t.text(a, spec) if a is not None and t.has(a.name) else null
-        expected = F.lit(c.expected) if isinstance(c.expected, str) else null if c.expected is None else c.expected
-        other = F.lit(False) if c.other_unit is None else V.no(c.other_unit)
-
-        def cell(status, value, expected_, root, c=c, other=other):
-            return F.struct(F.lit(c.index).alias("check"), F.lit(status).alias("cell"), value.alias("value"), expected_.alias("expected"), root.alias("root"), other.alias("other"))
-
-        no_root = F.lit(None).cast("int")
-        found = F.when(F.col(f"__m{c.index}").isNotNull(), cell(MASKED, own, null, F.col(f"__m{c.index}")))
-        found = found.when(F.col(f"__e{c.index}"), cell(FAIL, null if c.value is None else c.value.cast("string"), expected.cast("string"), no_root))
-        if c.unchecked is not None:
-            found = found.when(V.no(c.unchecked), cell(UNCHECKED, null, null, no_root))
-        if c.waiting is not None:
-            found = found.when(V.no(c.waiting), cell(WAITING, null, null, no_root))
-        structs.append(found)
-    held = F.filter(F.array(*structs), lambda x: x.isNotNull())
+        expected = F.lit(c.expected) if isinstance(c.expected, str) else null if c.expected is None else c.expected.cast("string")
+        mask, failed = F.col(f"__m{c.index}"), F.col(f"__e{c.index}")
+        state = F.when(mask.isNotNull(), MASKED).when(failed, FAIL)
+        for status, extra in ((UNCHECKED, c.unchecked), (WAITING, c.waiting)):
+            if extra is not None:
+                state = state.when(V.no(extra), status)
+        value = F.when(mask.isNotNull(), own)
+        if c.value is not None:
+            value = value.when(failed, c.value.cast("string"))
+        given = F.when(failed, expected) if c.expected is not None else null
+        state = state.otherwise(PASS)
+        structs.append(F.struct(F.lit(c.index).alias("check"), state.alias("cell"), value.alias("value"), given.alias("expected"), mask.alias("root"), (no if c.other_unit is None else V.no(c.other_unit)).alias("other")))
+    held = F.filter(F.array(*structs), lambda x: x["cell"] != PASS)
     key = [F.col(b.group(b.key_col)).alias("__key_col")] if b.key_col else []
     return df.select(ROW, key_text(spec, t).alias("__pk"), *b.groups, *key, F.explode(held).alias("c")).select(ROW, "__pk", *b.groups, *[k for k in ["__key_col"] if key], "c.*")
 
@@ -146,7 +144,7 @@ def record_run(ctx: Context, rule_set: RuleSet, run_id: str, run_scope: str, fin
         parts.append(found.withColumn("__table", F.lit(name)))
     for name, t in b.tables.items():
         if any(c.kind in ("record", "not_run") and (c.counted_table or c.table) == name for c in checks):
-            sizes[name] = t.df.groupBy(*b.groups).agg(F.count(F.lit(1)).alias("size")).filter("size > 0")
+            sizes[name] = t.base.groupBy(*b.groups).agg(F.count(F.lit(1)).alias("size")).filter("size > 0")
     g = b.groups
     cell_schema = f"{ROW} long, __pk string, {''.join(f'{x} string, ' for x in g)}{'__key_col string, ' if b.key_col else ''}check int, cell int, value string, expected string, root int, other boolean, __table string"
     cells = parts[0] if parts else spark.createDataFrame([], cell_schema)
@@ -272,7 +270,7 @@ def _issues(ctx: Context, checks: list[Check], cells: DataFrame, counts: DataFra
     rooted = rooted.join(meta, "check")
     many = None
     for t in tables:
-        one = t.df.select(key_text(spec, t).alias("__many")).filter("__many is not null").groupBy("__many").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(t.name).alias("__many_table"), "__many")
+        one = t.base.select(key_text(spec, t).alias("__many")).filter("__many is not null").groupBy("__many").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(t.name).alias("__many_table"), "__many")
         many = one if many is None else many.unionByName(one)
     positional = F.lit(None).cast("boolean")
     if many is not None:
@@ -284,7 +282,7 @@ def _issues(ctx: Context, checks: list[Check], cells: DataFrame, counts: DataFra
     # row numbers from 1 in delivered order, from the partitions' sizes
     numbers = []
     for name in {c.table for c in checks if c.kind == "record"}:
-        n = b.tables[name].df.groupBy(F.shiftright(ROW, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        n = b.tables[name].base.groupBy(F.shiftright(ROW, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
         at = 0
         for r in sorted(n, key=lambda r: r.p):
             numbers.append((name, r.p, at))

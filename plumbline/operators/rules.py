@@ -126,6 +126,10 @@ def missing_like(ctx: Context, a: Attribute, text: Column) -> Column:
 
 def domain_skipped(ctx: Context, t: Table, a: Attribute, number: Column | None = None) -> Column:
     """Values that Layer 3 does not judge: null, blank, the type's own codes, unknown codes."""
+    return t.once(("skipped", a.name, number is None), lambda: _skipped(ctx, t, a, number))
+
+
+def _skipped(ctx: Context, t: Table, a: Attribute, number: Column | None) -> Column:
     text = t.text(a, ctx.spec)
     codes = codes_of(ctx.spec, a) + ctx.unknown(a)
     skipped = text.isNull() | V.no(V.is_blank(text))
@@ -139,6 +143,10 @@ def domain_skipped(ctx: Context, t: Table, a: Attribute, number: Column | None =
 
 def key_missing(ctx: Context, t: Table, a: Attribute, allowed: str) -> tuple[Column, Column]:
     """(missing, open): a key that is null, NaN, blank or a code keys may not hold; a code they may hold."""
+    return t.once(("key", a.name, allowed), lambda: _key_missing(ctx, t, a, allowed))
+
+
+def _key_missing(ctx: Context, t: Table, a: Attribute, allowed: str) -> tuple[Column, Column]:
     text, kind, own = t.text(a, ctx.spec), t.types[a.name], ctx.spec.own_codes(a)
     no_codes = [s.value for s in own if not getattr(s, allowed)]
     ok_codes = [s.value for s in own if getattr(s, allowed)]
@@ -149,7 +157,7 @@ def key_missing(ctx: Context, t: Table, a: Attribute, allowed: str) -> tuple[Col
         missing = missing | V.no(F.isnan(a.name))
     opened = V.holds(F.col(a.name), kind, ok_codes)
     if ctx.spec.family(a) == "numeric" and not V.is_number(kind):
-        number = V.read_number(F.col(a.name), kind, False).value
+        number = t.number(a).value
         if lost := [float(c) for c in no_codes if V._is_number(c)]:
             missing = missing | V.no(number.isin(lost))
         if held := [float(c) for c in ok_codes if V._is_number(c)]:
@@ -159,9 +167,13 @@ def key_missing(ctx: Context, t: Table, a: Attribute, allowed: str) -> tuple[Col
 
 def compared(ctx: Context, t: Table, a: Attribute) -> Column:
     """A value as groups compare it: a number by its number, what does not read as one as written."""
+    return t.once(("compared", a.name), lambda: _compared(ctx, t, a))
+
+
+def _compared(ctx: Context, t: Table, a: Attribute) -> Column:
     text = t.text(a, ctx.spec)
     if ctx.spec.family(a) == "numeric" and V.is_text(t.types[a.name]):
-        number = V.read_number(F.col(a.name), t.types[a.name], False)
+        number = t.number(a)
         return F.when(~number.lost & number.value.isNotNull(), V.number_text(number.value)).otherwise(text)
     return text
 
@@ -181,7 +193,7 @@ def structure(ctx: Context) -> list[Check]:
         unit("table_missing", name, "*", name not in b.tables)
     for name, t in b.tables.items():
         if name not in spec.tables():
-            unit("table_unexpected", name, "*", True, n=t.df.count() if ctx.wants("table_unexpected") else 0)
+            unit("table_unexpected", name, "*", True, n=t.base.count() if ctx.wants("table_unexpected") else 0)
     for a in spec.attributes:
         t = b.tables.get(a.table)
         if t is None:
@@ -221,7 +233,7 @@ def types(ctx: Context) -> list[Check]:
                 failed = near != wanted and not (near in ("integer", "double") and wanted in ("integer", "double"))
             else:
                 failed = {near, wanted} == {"integer", "double"}
-            issues = [{"unit": None, "n_records": t.df.count(), "value": word, "expected": wanted}] if failed else []
+            issues = [{"unit": None, "n_records": t.base.count(), "value": word, "expected": wanted}] if failed else []
             return Check(rule_id, a.table, a.name, "unit", failed=failed, issues=issues, examples=word if failed else None)
 
         return evaluate
@@ -232,7 +244,7 @@ def types(ctx: Context) -> list[Check]:
         if wanted == "character":
             return record("coercion_loss", a, F.lit(False), None, wanted)
         text = t.text(a, spec)
-        fail = V.read_number(c, kind, wanted == "integer").lost & ~missing_like(ctx, a, text)
+        fail = t.number(a, wanted == "integer").lost & ~t.once(("missing", a.name), lambda: missing_like(ctx, a, text))
         if padding_checked(t, a):
             bare = V.trimmed(text)
             passes = ~V.read_number(bare, "string", wanted == "integer").lost | missing_like(ctx, a, bare)
@@ -253,7 +265,7 @@ def types(ctx: Context) -> list[Check]:
         return record("date_unparseable", a, fail, text, written)
 
     def endless(t, a):
-        return record("value_not_finite", a, V.read_number(F.col(a.name), t.types[a.name], False).not_finite, t.text(a, spec))
+        return record("value_not_finite", a, t.number(a).not_finite, t.text(a, spec))
 
     out += each(ctx, "class_mismatch", list(spec.attributes), storage("class_mismatch"))
     out += each(ctx, "coercion_loss", list(spec.attributes), lost)
@@ -366,7 +378,7 @@ def domains(ctx: Context) -> list[Check]:
         return each(ctx, rule_id, scope, evaluate)
 
     def number_of(t, a):
-        return V.read_number(F.col(a.name), t.types[a.name], False).value
+        return t.number(a).value
 
     def beyond(number, a, side):
         bound = a.min_value if side == "min" else a.max_value
@@ -441,7 +453,7 @@ def _bands(ctx: Context) -> list[Check]:
         bands = ctx.bound.spark.createDataFrame(rows, "__band string, __band_start double, __band_end double")
         # the bands are part of the specification, so their number is that of its rows
         t.df = df.withColumn("__band_key", V.value_text(F.col("__band_key"), kind)).drop("__band_key__unit").join(F.broadcast(bands), F.col("__band_key") == F.col("__band"), "left")
-        number = V.read_number(F.col(a.name), t.types[a.name], False).value
+        number = t.number(a).value
         unchecked = F.col("__band").isNull() | number.isNull() | F.isnan(number) | domain_skipped(ctx, t, a, number)
         fail = ~unchecked & ((number < F.col("__band_start")) | (number > F.col("__band_end")))
         expected = F.concat(V.number_text(F.col("__band_start")), F.lit(" to "), V.number_text(F.col("__band_end")))
@@ -468,16 +480,16 @@ def _code_sets(ctx: Context) -> list[Check]:
         if not mine:
             continue
         # columns of far more values than `most` are set aside by an estimate with a wide margin; the rest is exact
-        near = t.df.agg(F.count(F.lit(1)).alias("__n"), *[F.approx_count_distinct(a.name, 0.02).alias(a.name) for a in mine]).first()
+        near = t.base.agg(F.count(F.lit(1)).alias("__n"), *[F.approx_count_distinct(a.name, 0.02).alias(a.name) for a in mine]).first()
         few = [a for a in mine if near[a.name] <= 10 * most + 100]
         held: dict[str, list] = {a.name: [] for a in few}
         if few:
             cells = F.explode(F.array(*[F.struct(F.lit(a.name).alias("c"), F.when(~domain_skipped(ctx, t, a) & (~V.no(t.text(a, spec).isin(others)) if others else F.lit(True)), t.text(a, spec)).alias("v")) for a in few])).alias("x")
             # at most (10 x most + 100) values, a row for each unit that holds one
-            counted = t.df.select(unit.alias("u"), cells).filter("x.v is not null").groupBy("x.c", "x.v", "u").agg(F.count(F.lit(1)).alias("n"))
+            counted = t.base.select(unit.alias("u"), cells).filter("x.v is not null").groupBy("x.c", "x.v", "u").agg(F.count(F.lit(1)).alias("n"))
             for r in counted.collect():
                 held[r.c].append(r)
-            sizes = {r.u: r.n for r in t.df.groupBy(unit.alias("u")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            sizes = {r.u: r.n for r in t.base.groupBy(unit.alias("u")).agg(F.count(F.lit(1)).alias("n")).collect()}
         for a in mine:
             rows = held.get(a.name)
             if rows is None or len(found := sorted({r.v for r in rows}, key=lambda v: v.encode())) > most:
@@ -554,7 +566,7 @@ def repeats(ctx: Context, t: Table, parts: list[Attribute]) -> DataFrame:
     dead = V.any_of(*[x for p in parts for x in key_missing(ctx, t, p, "allowed_in_pk")])
     named = [F.when(~dead, compared(ctx, t, p)).alias(f"__k{i}") for i, p in enumerate(parts)]
     names = [f"__k{i}" for i in range(len(parts))]
-    many = t.df.select(*named).filter("__k0 is not null").groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    many = t.base.select(*named).filter("__k0 is not null").groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     on = [F.col(f"__k{i}") == F.col(f"__m{i}") for i in range(len(parts))]
     df = t.df.withColumns({f"__k{i}": F.when(~dead, compared(ctx, t, p)) for i, p in enumerate(parts)})
     joined = df.join(many.select(*[F.col(n).alias(f"__m{i}") for i, n in enumerate(names)], "__n"), on, "left")
@@ -568,7 +580,7 @@ def parent_row(ctx: Context, t: Table, e: Edge) -> DataFrame:
         return t.df
     b, spec = ctx.bound, ctx.spec
     parent, fk, pk = b.tables[e.parent], spec.attribute(e.table, e.attribute), spec.attribute(e.parent, e.parent_key)
-    holders = parent.df.select(B.join_key(spec, parent, pk, fk).alias("__pk"), ROW).filter("__pk is not null").groupBy("__pk").agg(F.min(ROW).alias(name))
+    holders = parent.base.select(B.join_key(spec, parent, pk, fk).alias("__pk"), ROW).filter("__pk is not null").groupBy("__pk").agg(F.min(ROW).alias(name))
     return t.df.withColumn("__fk", B.join_key(spec, t, fk, pk)).join(holders, F.col("__fk") == F.col("__pk"), "left").drop("__fk", "__pk")
 
 
@@ -648,8 +660,8 @@ def _childless(ctx: Context, e: Edge) -> Check:
     if reason:
         return not_run("parent_without_children", e.table, e.attribute, reason, e.parent)
     parent, pk, fk = b.tables[e.parent], spec.attribute(e.parent, e.parent_key), spec.attribute(e.table, e.attribute)
-    named = child.df.select(B.join_key(spec, child, fk, pk).alias("__named")).filter("__named is not null").distinct()
-    own = parent.df.withColumn("__key", B.join_key(spec, parent, pk)).withColumn("__join", B.join_key(spec, parent, pk, fk))
+    named = child.base.select(B.join_key(spec, child, fk, pk).alias("__named")).filter("__named is not null").distinct()
+    own = parent.base.withColumn("__key", B.join_key(spec, parent, pk)).withColumn("__join", B.join_key(spec, parent, pk, fk))
     joined = own.join(named, F.col("__join") == F.col("__named"), "left")
     counted = joined.groupBy(*b.groups).agg(F.count_if(F.col("__key").isNotNull() & F.col("__named").isNull()).alias("n_fail"), F.count_if(F.col("__key").isNull()).alias("waiting"), F.count(F.lit(1)).alias("size"))
     check = Check("parent_without_children", e.table, e.attribute, "count", counted_table=e.parent)
@@ -685,7 +697,7 @@ def _designs(ctx: Context) -> list[Check]:
                 text, numeric = F.coalesce(t.text(a, spec), F.lit("")), spec.family(a) == "numeric"
                 unit = F.col(b.groups[0]) if b.groups else F.lit("1")
                 # distinct values of a group first; a group's list is cut to the first ones by a ranked window
-                values = t.df.select(group.alias("__g"), F.coalesce(compared(ctx, t, a), F.lit("")).alias("__c"), text.alias("__v"), unit.alias("__u")).filter("__g is not null")
+                values = t.base.select(group.alias("__g"), F.coalesce(compared(ctx, t, a), F.lit("")).alias("__c"), text.alias("__v"), unit.alias("__u")).filter("__g is not null")
                 spans = values.groupBy("__g").agg((F.min("__c") != F.max("__c")).alias("__differs"), (V.no(F.min("__u") != F.max("__u")) | V.no(F.max(F.col("__u") == "*"))).alias("__spans")).filter("__differs")
                 distinct = values.select("__g", "__v").distinct().join(spans.select("__g"), "__g", "left_semi")
                 number = F.col("__v").try_cast("double") if numeric else F.lit(None).cast("double")
@@ -713,7 +725,7 @@ def _designs(ctx: Context) -> list[Check]:
                 dead = V.any_of(*[key_missing(ctx, t, p, "allowed_in_pk")[0] for p in parts])
                 key = F.to_json(F.array(*[F.coalesce(compared(ctx, t, p), F.lit("")) for p in parts]))
                 mine = F.when(~dead, group)
-                many = t.df.select(mine.alias("__g"), key.alias("__c")).filter("__g is not null").groupBy("__g").agg((F.min("__c") != F.max("__c")).alias("__differs")).filter("__differs").select("__g", F.lit(True).alias("__ambiguous"))
+                many = t.base.select(mine.alias("__g"), key.alias("__c")).filter("__g is not null").groupBy("__g").agg((F.min("__c") != F.max("__c")).alias("__differs")).filter("__differs").select("__g", F.lit(True).alias("__ambiguous"))
                 t.df = t.df.withColumn("__my_group", mine).join(many, F.col("__my_group") == F.col("__g"), "left").drop("__my_group", "__g")
                 return record("subplot_label_ambiguous", a, V.no(F.col("__ambiguous")), t.text(a, spec))
 
@@ -735,11 +747,11 @@ def _designs(ctx: Context) -> list[Check]:
                 # a multiset of lines stands as its count and the sums of two hashes of each line: one shuffle, no gathered rows
                 cells = F.to_json(F.array(*[F.coalesce(compared(ctx, child, spec.attribute(table, c)), F.lit("\u0000")) for c in columns]))
                 fk = spec.attribute(table, by)
-                lines = child.df.select(B.join_key(spec, child, fk, a).alias("__fk"), cells.alias("__line")).filter("__fk is not null")
+                lines = child.base.select(B.join_key(spec, child, fk, a).alias("__fk"), cells.alias("__line")).filter("__fk is not null")
                 sums = lines.groupBy("__fk").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("__line").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("__line", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
                 print_ = F.concat_ws(":", F.col("n").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"))
                 unit = F.col(b.groups[0]) if b.groups else F.lit("1")
-                holders = t.df.select(B.join_key(spec, t, a, fk).alias("__pk"), ROW, unit.alias("__u"), t.text(a, spec).alias("__id")).filter("__pk is not null").groupBy("__pk").agg(F.min(F.struct(ROW, "__u", "__id")).alias("h"))
+                holders = t.base.select(B.join_key(spec, t, a, fk).alias("__pk"), ROW, unit.alias("__u"), t.text(a, spec).alias("__id")).filter("__pk is not null").groupBy("__pk").agg(F.min(F.struct(ROW, "__u", "__id")).alias("h"))
                 signed = holders.join(sums.select(F.col("__fk").alias("__pk"), print_.alias("__print")), "__pk").select(F.col(f"h.{ROW}").alias("__owner"), F.col("h.__u").alias("__u"), F.col("h.__id").alias("__id"), "__print")
                 signed = b.work.keep(signed)
                 from pyspark.sql import Window
