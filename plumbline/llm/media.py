@@ -159,7 +159,7 @@ class PackWriter:
 class PackReader:
     """Chunks of any pack by place, with the last blocks kept; and a pack's recipes."""
 
-    def __init__(self, blocks: int = 48):
+    def __init__(self, blocks: int = 16):
         import zstandard
 
         self.press = zstandard.ZstdDecompressor()
