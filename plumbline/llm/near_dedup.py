@@ -360,3 +360,23 @@ def _search(spark: SparkSession, scratch: common.Scratch, docs: DataFrame, membe
     sided = large.join(ends, ["centre", "block"])
     second = sided.join(sets, "node").groupBy("centre", "left", "right").applyInPandas(_across, EDGES)
     return first.unionByName(scratch.keep(second, "links-1"))
+
+
+#: Rows-for-rows SQL of the query over documents with distinct ids: overlaps of all pairs that share a shingle, then reachability.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE [array_to_string(words[i : i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n_shingles FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT o.x, o.y FROM o JOIN n nx ON nx.doc_id = o.x JOIN n ny ON ny.doc_id = o.y WHERE 100 * shared >= 75 * (nx.n_shingles + ny.n_shingles - shared)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reached),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n_shingles, 0) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept, sha256(w.text) AS text_sha256
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN m ON m.doc_id = w.doc_id
+"""

@@ -54,4 +54,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_media_chunks, op3_exact_dedup, op4_warc, op5_near_dedup, op6_shards, op7_quality, op8_packing, op9_language, op10_mixing)}
-SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_warc": warc.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_warc": warc.SQL, "op5_near_dedup": near_dedup.SQL, "op6_shards": sharding.SQL, "op10_mixing": mixing.SQL}

@@ -33,3 +33,25 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8) -> DataFrame:
     placed = placed.withColumn("shard", cut)
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # a row for each shard
     return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Rows-for-rows SQL of the query with 8 shards. crc.t is the table of the reflected polynomial 0xEDB88320 (a fixed value).
+SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+c AS (
+  SELECT doc_id, size,
+         xor(list_reduce(list_prepend(4294967295, [CAST('0x' || b AS BIGINT) FOR b IN regexp_extract_all(hex(encode(text)), '..')]),
+                         lambda r, b: xor(r >> 8, crc.t[(xor(r, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, crc),
+p AS (
+  SELECT *, sum(size) OVER () AS total, sum(size) OVER w - size AS before
+  FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST(least((2 * before + size) * 8 // (2 * total), 7) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
