@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +27,34 @@ def add_label(b: Bound, t: Table) -> DataFrame:
 
 
 def source_id(spec: Spec, table: str) -> Attribute | None:
-    """The table's one ID that is no key and is flagged for lineage."""
-    found = [a for a in spec.of(table) if a.id_marked and not a.key]
-    return found[0] if len(found) == 1 else next((a for a in found if a.lineage), None)
-
-
-def entry_slots(spec: Spec, label: str, entry: list[LineageEntry], depth: int = 0) -> list[LineageEntry] | None:
-    """The parts of an ID, nested IDs replaced by theirs; None where one does not expand."""
-    out: list[LineageEntry] = []
-    for part in sorted(entry, key=lambda e: e.part_order):
-        nested = [a for a in spec.attributes if part.part_kind == "derived" and a.name == part.part_source and a.id_marked and not a.key]
-        if not nested:
-            out.append(part)
+    """The table's first ID that has a lineage entry."""
+    entries = {(e.table, e.attribute) for e in spec.lineage}
+    return next((a for a in spec.of(table) if a.id_marked and (table, a.name) in entries), None)
+
+
+@dataclass(frozen=True)
+class Slot:
+    """A part of an ID: the table whose rows its conditions read, its own name, and the names it has where a condition holds."""
+
+    table: str
+    name: str
+    conditioned: tuple[tuple[str, str], ...]
+
+
+def entry_slots(spec: Spec, label: str, entry: list[LineageEntry], seen: tuple[str, ...] = ()) -> list[Slot] | None:
+    """The parts of an ID, nested IDs replaced by theirs; None where one does not expand.
+
+    A nested ID expands if its entry is in one table, has parts, has no
+    alternatives and is not nested in itself.
+    """
+    out: list[Slot] = []
+    for own in sorted((e for e in entry if e.when is None), key=lambda e: e.part_order):
+        inner = [e for e in spec.lineage if own.part_kind == "derived" and (e.contributor, e.attribute) == (label, own.part_source)]
+        if not inner:
+            out.append(Slot(own.table, own.part_source, tuple((e.when, e.part_source) for e in entry if e.when and e.part_order == own.part_order)))
             continue
-        inner = [e for e in spec.lineage if e.contributor == label and e.table == nested[0].table and e.attribute == nested[0].name]
-        if depth > 4 or not inner or inner[0].id_status not in ("single", "composite") or any(e.alternative for e in inner):
-            return None
-        more = entry_slots(spec, label, inner, depth + 1)
+        whole = len({e.table for e in inner}) == 1 and all(e.id_status in ("single", "composite") and not e.alternative for e in inner)
+        more = entry_slots(spec, label, inner, (*seen, own.part_source)) if whole and own.part_source not in seen else None
         if more is None:
             return None
         out += more
@@ -80,11 +93,11 @@ def condition_column(b: Bound, t: Table, condition: Condition, flags: dict[str,
     return V.no(found)
 
 
-def decode_table(b: Bound, t: Table, flags: dict[str, Column] | None = None) -> DataFrame:
+def decode_table(b: Bound, t: Table, flags: dict[str, dict[str, Column]] | None = None) -> DataFrame:
     """ROW, provider_key, provider_key_status of a table's rows.
 
     A label's entry is one expression: its ID is split at the separator, parts
-    are labelled and joined. decoded, partial (a part is blank or a missing-value
+    are labelled and joined. flags holds columns by table and name. decoded, partial (a part is blank or a missing-value
     code), raw (kept as delivered), no_lineage_spec, or fallback_pk.
     """
     spec = b.spec
@@ -131,28 +144,53 @@ def _literal(separator: str) -> str:
     return r"\Q" + separator + r"\E"
 
 
-def _label(b: Bound, t: Table, slot: LineageEntry, flags: dict[str, Column]) -> Column:
-    """A part's label: the provider's table.column, or the attribute; with a condition only where it holds."""
-    label = F.lit(slot.part_source)
-    condition = parse_condition(slot.when) if slot.when else None
-    if condition is None:
-        return label
-    return F.when(condition_column(b, t, condition, flags), label).otherwise(F.lit(slot.part_source.rpartition(".")[0] or slot.part_source))
+def _label(b: Bound, t: Table, slot: Slot, flags: dict[str, dict[str, Column]]) -> Column:
+    """A part's name: that of the first condition that holds for the row, or for its parent in the part's table; else its own."""
+    conditions = [(c, name) for when, name in slot.conditioned if (c := parse_condition(when))]
+    if not conditions:
+        return F.lit(slot.name)
+    if slot.table == t.name:
+        held = [condition_column(b, t, c, flags.get(t.name, {})) for c, _ in conditions]
+    else:
+        held = _held_by_parent(b, t, slot.table, [c for c, _ in conditions], flags.get(slot.table, {}))
+    return F.coalesce(*[F.when(h, F.lit(name)) for h, (_, name) in zip(held, conditions, strict=True)], F.lit(slot.name))
+
+
+def _held_by_parent(b: Bound, t: Table, home: str, conditions: list[Condition], flags: dict[str, Column]) -> list[Column]:
+    """Whether each condition holds for the parent in `home` that the first unbroken route reaches; a row that reaches none holds none."""
+    if home not in b.tables:
+        return [F.lit(False)] * len(conditions)
+    parent = b.tables[home]
+    fields = {f"__h{k}": condition_column(b, parent, c, flags) for k, c in enumerate(conditions)}
+    frames = {n: x.base for n, x in b.tables.items()} | {home: parent.df}
+    chosen: list[Column] = [F.lit(None).cast("boolean")] * len(conditions)
+    closed, df, drop = F.lit(False), t.df, []
+    for k, path in enumerate(r for r in b.spec.routes_to(t.name, {home}) if B.followed(b, r)):
+        df = B.follow(b, frames, df, path, lambda end: {f"{n}_{k}": c for n, c in fields.items()})  # noqa: B023
+        df = df.withColumnRenamed("__state", f"__s{k}")
+        chosen = [F.coalesce(c, F.when(~closed & (F.col(f"__s{k}") == "reached"), F.col(f"{n}_{k}"))) for c, n in zip(chosen, fields, strict=True)]
+        closed = closed | (F.col(f"__s{k}") == "orphan")
+        drop += [f"__s{k}", *[f"{n}_{k}" for n in fields]]
+    start = len(t.df.columns)
+    names = [f"__l{start}_{k}" for k in range(len(conditions))]
+    t.df = df.withColumns({n: V.no(c) for n, c in zip(names, chosen, strict=True)}).drop(*drop)
+    return [F.col(n) for n in names]
 
 
 def decode(b: Bound, issues: DataFrame, flags: dict[str, dict[str, Column]] | None = None) -> DataFrame:
-    """Issues with their provider key and its status.
+    """Issues with their provider key and its status, and a fingerprint of the key.
 
     Keys are decoded once for each table. A key that another record of the table
-    has too does not name a record: such issues keep their primary key.
-    Record-level issues are joined by row number; column-level ones have none.
+    has too does not name a record, so such an issue shows the key but its
+    fingerprint stays that of the primary key. Record-level issues are joined by
+    row number; column-level ones have no key.
     """
     parts = None
     for name, t in b.tables.items():
         if name not in b.spec.tables():
             continue
-        found = b.work.keep(decode_table(b, t, (flags or {}).get(name)))
-        shared = found.filter(F.col("provider_key_status").isin("decoded", "partial")).groupBy("provider_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("provider_key", F.lit(True).alias("shared"))
+        found = b.work.keep(decode_table(b, t, flags))
+        shared = found.filter("provider_key is not null").groupBy("provider_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("provider_key", F.lit(True).alias("shared"))
         found = found.join(shared, "provider_key", "left")
         n = t.base.groupBy(F.shiftright(ROW, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
         first, at = [], 0
@@ -160,13 +198,15 @@ def decode(b: Bound, issues: DataFrame, flags: dict[str, dict[str, Column]] | No
             first.append((r.p, at))
             at += r.n
         offsets = b.spark.createDataFrame(first, "p long, first long")
-        numbered = found.join(F.broadcast(offsets), F.shiftright(ROW, 33) == F.col("p")).select(F.lit(name).alias("__t"), (F.col("first") + F.col(ROW).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("__n"), F.when(F.col("shared").isNull(), F.col("provider_key")).alias("__key"), F.when(F.col("shared"), "fallback_pk").otherwise(F.col("provider_key_status")).alias("__status"))
+        place = F.col("first") + F.col(ROW).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+        numbered = found.join(F.broadcast(offsets), F.shiftright(ROW, 33) == F.col("p")).select(F.lit(name).alias("__t"), place.alias("__n"), F.col("provider_key").alias("__key"), F.col("provider_key_status").alias("__status"), F.col("shared").alias("__shared"))
         parts = numbered if parts is None else parts.unionByName(numbered)
     if parts is None:
         return issues
     joined = issues.join(parts, (F.col("table_name") == F.col("__t")) & (F.col("row_number") == F.col("__n")), "left")
-    print_ = F.concat_ws("|", "rule_id", "table_name", "column_name", F.coalesce("__key", F.concat(F.lit("pk:"), F.col("record_pk"))))
-    return joined.withColumns({"provider_key": F.col("__key"), "provider_key_status": F.col("__status"), "fingerprint": print_}).select(*issues.columns)
+    own = F.col("__key").isNotNull() & F.col("__shared").isNull()
+    told = F.when(own, F.concat_ws("|", "rule_id", "table_name", "column_name", "__key")).otherwise(F.col("fingerprint_pk"))
+    return joined.withColumns({"provider_key": F.col("__key"), "provider_key_status": F.coalesce("__status", F.lit("fallback_pk")), "fingerprint": told}).select(*issues.columns)
 
 
 def verify_positions(b: Bound, issues: DataFrame) -> DataFrame:

@@ -211,8 +211,11 @@ class Spec:
 
     def routes(self, table: str, target: str) -> list[list[Edge]]:
         """Simple paths of foreign keys from a table to those that hold the attribute, shortest first."""
+        return self.routes_to(table, {a.table for a in self.attributes if a.name == target})
+
+    def routes_to(self, table: str, homes: set[str]) -> list[list[Edge]]:
+        """Simple paths of foreign keys from a table to others, shortest first."""
         edges = self.edges()
-        homes = {a.table for a in self.attributes if a.name == target}
         found, queue = [], [[e] for e in edges if e.table == table]
         while queue:
             path = queue.pop(0)
@@ -277,18 +280,25 @@ def _literals(text: str) -> tuple[str, ...] | None:
 
 
 NO_ID = {"X": "no_id", "Z": "not_applicable"}
+#: A part of a source ID: an attribute, or `table.column` of the provider.
+PART = r"[\w]+(\.[\w ]+)?"
+
+
+def lineage_tokens(codes: Iterable[Sentinel]) -> dict[str, str]:
+    """What an entry says for no ID: the missing-value codes of text."""
+    kinds = {"missing": "no_id", "not_applicable": "not_applicable"}
+    return {s.value: kinds[s.role] for s in codes if s.family == "character" and s.role in kinds}
 
 
-def parse_lineage(contributor: str, table: str, attribute: str, text: str | None, separator: str | None = None, when: dict[tuple[str | None, int], str] | None = None, tokens: dict[str, str] | None = None) -> list[LineageEntry]:
+def parse_lineage(contributor: str, table: str, attribute: str, text: str | None, separator: str | None = None, tokens: dict[str, str] | None = None) -> list[LineageEntry]:
     """The notation of a source ID: parts joined by ` + `, labelled alternatives by ` | `, or a token for none.
 
     A part written `table.column` is the provider's, another is an attribute.
     """
-    tokens = tokens or NO_ID
+    tokens = NO_ID if tokens is None else tokens
 
     def row(alternative, order, source, kind, status):
-        condition = (when or {}).get((alternative, order))
-        return LineageEntry(contributor, table, attribute, alternative, order, source, kind, condition, status, separator)
+        return LineageEntry(contributor, table, attribute, alternative, order, source, kind, None, status, separator)
 
     if text is None or not text.strip():
         return [row(None, 1, None, None, "blank")]
@@ -303,13 +313,54 @@ def parse_lineage(contributor: str, table: str, attribute: str, text: str | None
                 return [row(None, 1, text, None, "unparseable")]
             label, parts = m[1].strip(), m[2]
         names = [p.strip() for p in parts.split(" + ")]
-        if any(not re.fullmatch(r"[\w]+(\.[\w ]+)?", p) for p in names):
+        if any(not re.fullmatch(PART, p) for p in names):
             return [row(None, 1, text, None, "unparseable")]
         for k, p in enumerate(names):
-            out.append(row(label, k + 1, p, "source" if "." in p else "derived", "single" if len(names) == 1 else "composite"))
+            out.append(row(label, k + 1, p, part_kind(p), "single" if len(names) == 1 else "composite"))
     return out
 
 
+def part_kind(name: str) -> str:
+    return "source" if "." in name else "derived"
+
+
+def add_conditions(entries: list[LineageEntry], rows: Iterable[dict]) -> tuple[list[LineageEntry], list[tuple[str, str]]]:
+    """Entries with their condition rows, and (where, why) of the rows that condition nothing.
+
+    A row names a part of an entry without alternatives and gives the name that
+    the part has where a condition holds. Rows of a part stand before it, in
+    their order, and the first that holds decides.
+    """
+    named: dict[tuple, list[LineageEntry]] = {}
+    wrong = []
+    for n, r in enumerate(rows):
+        who = (r.get("contributor_label"), r.get("table_name"), r.get("attribute_name"))
+        own = [e for e in entries if (e.contributor, e.table, e.attribute) == who and e.id_status in ("single", "composite")]
+        order, name, when = str(r.get("part_order") or ""), r.get("part_source") or "", r.get("when") or ""
+        parts = [e for e in own if order.isdecimal() and e.part_order == int(order)]
+        why = None
+        if not own:
+            why = "names no entry that has parts"
+        elif any(e.alternative for e in own):
+            why = "names an entry with labelled alternatives"
+        elif len(parts) != 1:
+            why = f"names no part: {order!r}"
+        elif parts[0].part_kind == "derived" and any((e.contributor, e.attribute) == (who[0], parts[0].part_source) for e in entries):
+            why = f"names a part that is an ID with an entry of its own: {parts[0].part_source}"
+        elif not re.fullmatch(PART, name):
+            why = f"{name!r} is no part"
+        elif parse_condition(when) is None:
+            why = f"{when!r} is no condition"
+        if why:
+            wrong.append((f"lineage_when:{n + 2}", why))
+        else:
+            named.setdefault((*who, parts[0].part_order), []).append(replace(parts[0], part_source=name, part_kind=part_kind(name), when=when))
+    out: list[LineageEntry] = []
+    for e in entries:
+        out += [*named.get((e.contributor, e.table, e.attribute, e.part_order), []), e]
+    return out, wrong
+
+
 def match_columns(given: list[str], wanted: list[str]) -> dict[str, tuple[str, bool]]:
     """attribute -> (column, near): by exact name, then by name without space and case, each column once."""
     out = {a: (a, False) for a in wanted if a in given}

@@ -185,7 +185,12 @@ def lineage_spec_unparseable(x):
 
 @check
 def lineage_when_invalid(x):
-    return [(f"{e.contributor}: {e.table}.{e.attribute}", f"{e.when!r} is no condition") for e in x.spec.lineage if e.when and parse_condition(e.when) is None] + [(y.where, y.detail) for y in x.spec.findings if y.check == "lineage_when_invalid"]
+    out = []
+    for e in x.spec.lineage:
+        condition = parse_condition(e.when) if e.when else None
+        if e.when and (condition is None or not (condition.operand.startswith("flag.") or x.spec.chain(e.table, condition.operand))):
+            out.append((f"{e.contributor}: {e.table}.{e.attribute}", f"{e.when!r} is no condition"))
+    return out + [(y.where, y.detail) for y in x.spec.findings if y.check == "lineage_when_invalid"]
 
 
 @check

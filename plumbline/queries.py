@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.classify import classify
 from plumbline.operators.decode import decode
 from plumbline.operators.report import route
-from plumbline.plans.model import Attribute, Spec, parse_lineage, sentinels, type_map
+from plumbline.plans.model import Attribute, Spec, add_conditions, parse_lineage, sentinels, type_map
 from plumbline.run import Run, check_conformance
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -458,11 +458,40 @@ def sourced(spark, sf_dir) -> Run:
     d AS (SELECT *, CASE WHEN id = '?' THEN 'fallback_pk' WHEN st NOT IN ('F', 'O') THEN 'no_lineage_spec' WHEN st = 'O' THEN CASE WHEN id LIKE '%=%' THEN 'raw' ELSE 'decoded' END
         WHEN len(string_split(id, '_')) <> 2 OR id LIKE '%=%' THEN 'raw' WHEN string_split(id, '_')[2] IN ('?', '') THEN 'partial' ELSE 'decoded' END AS s FROM o),
     k AS (SELECT *, CASE s WHEN 'fallback_pk' THEN NULL WHEN 'raw' THEN id WHEN 'no_lineage_spec' THEN id ELSE CASE WHEN st = 'O' THEN 'src.number=' || id ELSE 'src.plot=' || string_split(id, '_')[1] || '; src.tree=' || string_split(id, '_')[2] END END AS key FROM d),
-    n AS (SELECT *, s IN ('decoded', 'partial') AND count(*) FILTER (s IN ('decoded', 'partial')) OVER (PARTITION BY key) > 1 AS shared FROM k)
-    SELECT {text('o_orderkey')} AS record_pk, CASE WHEN shared THEN NULL ELSE key END AS provider_key, CASE WHEN shared THEN 'fallback_pk' ELSE s END AS provider_key_status FROM n""")
+    n AS (SELECT *, key IS NOT NULL AND count(*) OVER (PARTITION BY key) = 1 AS own FROM k)
+    SELECT {text('o_orderkey')} AS record_pk, key AS provider_key, s AS provider_key_status, 'value_above_max|orders|o_totalprice|' || CASE WHEN own THEN key ELSE 'pk:' || {text('o_orderkey')} END AS fingerprint FROM n""")
 def decode_keys(spark, sf_dir):
     r = sourced(spark, sf_dir)
-    return decode(r.bound, r.issues).select("record_pk", "provider_key", "provider_key_status")
+    return decode(r.bound, r.issues).select("record_pk", "provider_key", "provider_key_status", "fingerprint")
+
+
+NESTED = {"o_orderpriority": "CASE WHEN o_orderkey % 7 = 1 THEN 'a_b' WHEN o_orderkey % 4 = 0 THEN 'p_1_same' ELSE 'p' || CAST(o_custkey % 5 AS VARCHAR(20)) || '_2_' || CAST(o_orderkey AS VARCHAR(20)) END"}
+
+
+def _entry(contributor: str, table: str, attribute: str, text: str, order: int, name: str, when: str):
+    row = {"contributor_label": contributor, "table_name": table, "attribute_name": attribute, "part_order": order, "part_source": name, "when": when}
+    return add_conditions(parse_lineage(contributor, table, attribute, text, "_"), [row])[0]
+
+
+NESTED_LINEAGE = (
+    *_entry("F", "customer", "c_mktsegment", "cust.site + cust.no", 1, "west.site", "c_nationkey %in% c(1, 2, 3)"),
+    *_entry("F", "orders", "o_orderpriority", "c_mktsegment + src.tree", 2, "src.bush", "o_custkey > c_nationkey == 7"),
+    *_entry("O", "orders", "o_orderpriority", "src.number", 1, "alt.number", "o_custkey > c_nationkey == 7"),
+    *parse_lineage("O", "customer", "c_mktsegment", "Z"),
+)
+
+
+@query("decode_labels", f"""
+    WITH o AS (SELECT o_orderkey, o_orderstatus AS st, c_nationkey AS nk, {NESTED['o_orderpriority']} AS id FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+    d AS (SELECT *, string_split(id, '_') AS p, CASE WHEN st NOT IN ('F', 'O') THEN 'no_lineage_spec' WHEN st = 'F' AND len(string_split(id, '_')) <> 3 THEN 'raw' ELSE 'decoded' END AS s FROM o),
+    k AS (SELECT *, CASE WHEN s <> 'decoded' THEN id WHEN st = 'O' THEN CASE WHEN nk = 7 THEN 'alt.number=' ELSE 'src.number=' END || id
+        ELSE CASE WHEN nk IN (1, 2, 3) THEN 'west.site=' ELSE 'cust.site=' END || p[1] || '; cust.no=' || p[2] || CASE WHEN nk = 7 THEN '; src.bush=' ELSE '; src.tree=' END || p[3] END AS key FROM d),
+    n AS (SELECT *, count(*) OVER (PARTITION BY key) = 1 AS own FROM k)
+    SELECT {text('o_orderkey')} AS record_pk, key AS provider_key, s AS provider_key_status, 'value_above_max|orders|o_totalprice|' || CASE WHEN own THEN key ELSE 'pk:' || {text('o_orderkey')} END AS fingerprint FROM n""")
+def decode_labels(spark, sf_dir):
+    change = {"c_nationkey": {"key": None}, "c_mktsegment": {"id_marked": True, "lineage": True}, "o_orderpriority": {"id_marked": True, "lineage": True}, "o_totalprice": {"max_value": 1.0}}
+    r = run(spark, sf_dir, ["value_above_max"], "orders", "customer", planted=NESTED, change=change, lineage=NESTED_LINEAGE, group_cols=["o_orderstatus"], settings={"column_level_min_n": 1_000_000_000})
+    return decode(r.bound, r.issues).select("record_pk", "provider_key", "provider_key_status", "fingerprint")
 
 
 OVERRIDES = [

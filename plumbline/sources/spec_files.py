@@ -12,7 +12,7 @@ import re
 from dataclasses import asdict
 from typing import Any
 
-from plumbline.plans.model import Attribute, Finding, LineageEntry, Sentinel, Spec, TypeRow, parse_lineage, resolve_clashes, sentinels, type_map
+from plumbline.plans.model import Attribute, Finding, LineageEntry, Sentinel, Spec, TypeRow, add_conditions, lineage_tokens, parse_lineage, resolve_clashes, sentinels, type_map
 
 #: What a dictionary's columns are called here, by their meaning; a column map renames them.
 COLUMNS = ("table", "attribute", "type", "key", "reference", "lookup", "lineage", "min", "max", "min_inclusive", "max_inclusive", "pattern", "max_length", "decimals", "units")
@@ -199,19 +199,18 @@ def read_spec(
         low, high = _number(r.get("band_start"), f"id_bands:{k + 2}", "band_start", found), _number(r.get("band_end"), f"id_bands:{k + 2}", "band_end", found)
         if low is not None and high is not None:
             bands.append({"key_value": r["key_value"], "band_start": low, "band_end": high})
-    conditions: dict[tuple, dict] = {}
-    for r in optional("lineage_when", lineage_when) or []:
-        conditions.setdefault((r["contributor_label"], r["table_name"], r["attribute_name"]), {})[r.get("alternative"), int(r["part_order"] or 1)] = r["when"]
+    codes = sentinels(missing) if missing and not isinstance(missing[0], Sentinel) else tuple(missing)
     entries: list[LineageEntry] = []
     for r in optional("lineage_spec", lineage) or []:
-        who = (r["contributor_label"], r["table_name"], r["attribute_name"])
-        entries += parse_lineage(*who, r.get("source_text"), (lineage_separators or {}).get(r["contributor_label"]), conditions.get(who))
+        entries += parse_lineage(r["contributor_label"], r["table_name"], r["attribute_name"], r.get("source_text"), (lineage_separators or {}).get(r["contributor_label"]), lineage_tokens(codes))
+    entries, wrong = add_conditions(entries, optional("lineage_when", lineage_when) or [])
+    found += [Finding("lineage_when_invalid", where, why) for where, why in wrong]
     clashes, settled = resolve_clashes(dataset_rows or {}, datasets or {}, optional("precedence", precedence) or [])
     for sheet, rows in (datasets or {}).items():
         found += [Finding("datasets_row_missing", sheet, f"{k} is not among the datasets") for k in rows if k not in (dataset_rows or {})]
     pairs, walk, many = optional("key_pairs", key_pairs), optional("reach", reach), optional("one_to_many", one_to_many)
     return Spec(
-        tuple(attributes), kinds, sentinels(missing) if missing and not isinstance(missing[0], Sentinel) else tuple(missing), lists, translations, non_code_sheets, None if pairs is None else tuple(pairs), None if walk is None else tuple(walk),
+        tuple(attributes), kinds, codes, lists, translations, non_code_sheets, None if pairs is None else tuple(pairs), None if walk is None else tuple(walk),
         tuple(bands), id_band_columns, tuple(many or ()), tuple(entries), contributors or {}, tuple(clashes), tuple(found), tuple(files),
     )
 

@@ -2,8 +2,9 @@ import dataclasses
 
 import pytest
 
+from plumbline.operators.decode import entry_slots
 from plumbline.plans import preflight as P
-from plumbline.plans.model import Attribute, Condition, Finding, Spec, match_columns, parse_condition, parse_lineage, resolve_clashes, sentinels, type_map
+from plumbline.plans.model import Attribute, Condition, Finding, Spec, add_conditions, lineage_tokens, match_columns, parse_condition, parse_lineage, resolve_clashes, sentinels, type_map
 from plumbline.plans.registry import PREFLIGHT, RULES
 from plumbline.plans.settings import RuleSet, resolve, rule_row_value, severity_of, enabled
 from plumbline.sources import spec_files
@@ -51,7 +52,7 @@ def extra(**values):
         ("spec_clash_unresolved", lambda: extra(clashes=({"sheet": "s", "key": "k", "attribute_name": "a", "dictionary": "1", "other": "2", "winner": None},))),
         ("site_id_range_invalid", lambda: extra(id_bands=({"key_value": "a", "band_start": 1, "band_end": 5}, {"key_value": "b", "band_start": 5, "band_end": 9}))),
         ("lineage_spec_unparseable", lambda: extra(lineage=tuple(parse_lineage("A", "hauls", "src_haul_id", "a ++ b")))),
-        ("lineage_when_invalid", lambda: extra(lineage=tuple(parse_lineage("A", "hauls", "src_haul_id", "n.a", when={(None, 1): "depth > 3"})))),
+        ("lineage_when_invalid", lambda: extra(lineage=tuple(dataclasses.replace(e, when="depth > 3") for e in parse_lineage("A", "hauls", "src_haul_id", "n.a")))),
         ("lineage_name_unknown", lambda: extra(lineage=tuple(parse_lineage("A", "hauls", "src_haul_id", "nothing")))),
         ("lineage_spec_row_unflagged", lambda: extra(lineage=tuple(parse_lineage("A", "hauls", "gear", "n.a")))),
         ("lineage_id_unflagged", lambda: extra(attributes=(*fish_spec().attributes, Attribute("hauls", "src_x_id", "text", id_marked=True)))),
@@ -159,3 +160,37 @@ def test_routes():
     assert [[e.attribute for e in r] for r in s.routes("catches", "water_body")] == [["haul_id", "station_id"]]
     assert s.chain("catches", "haul_id > station_id > depth")[1:] == ("stations", "depth") and s.chain("catches", "nope > depth") is None
     assert isinstance(s, Spec)
+
+
+def test_lineage_conditions():
+    entries = [*parse_lineage("A", "trees", "src_tree_id", "src_site_id + n.tree", "_"), *parse_lineage("A", "sites", "src_site_id", "n.site", "_"), *parse_lineage("B", "trees", "src_tree_id", "x: n.a | y: n.b", "_"), *parse_lineage("C", "trees", "src_tree_id", "X", "_")]
+
+    def row(*cells):
+        return dict(zip(("contributor_label", "table_name", "attribute_name", "part_order", "part_source", "when"), cells, strict=True))
+
+    tree = ("trees", "src_tree_id")
+    wrong = [("D", *tree, "1", "n.z", "a == 1"), ("C", *tree, "1", "n.z", "a == 1"), ("B", *tree, "1", "n.z", "a == 1"), ("A", *tree, "3", "n.z", "a == 1"), ("A", *tree, "x", "n.z", "a == 1"), ("A", *tree, "1", "n.z", "a == 1"), ("A", *tree, "2", "n z+", "a == 1"), ("A", *tree, "2", "n.z", "a > 1"), (None, None, None, None, None, None)]
+    good = [("A", *tree, "2", "n.first", "a == 1"), ("A", *tree, 2, "n_second", "is_present(a)")]
+    found, told = add_conditions(entries, [row(*r) for r in [*wrong, *good]])
+    assert [w for w, _ in told] == [f"lineage_when:{k + 2}" for k in range(len(wrong))]
+    assert [(e.part_source, e.part_kind, e.when) for e in found if e.contributor == "A" and e.part_order == 2] == [("n.first", "source", "a == 1"), ("n_second", "derived", "is_present(a)"), ("n.tree", "source", None)]
+    assert len(found) == len(entries) + len(good)
+    spec = Spec(attributes=(), lineage=tuple(found))
+    slots = entry_slots(spec, "A", [e for e in found if (e.contributor, e.table) == ("A", "trees")])
+    assert [(s.table, s.name, len(s.conditioned)) for s in slots] == [("sites", "n.site", 0), ("trees", "n.tree", 2)]
+
+
+def test_nested_ids_that_do_not_expand():
+    trees = parse_lineage("A", "trees", "src_tree_id", "src_site_id + n.tree", "_")
+    for inner in (
+        parse_lineage("A", "sites", "src_site_id", "src_site_id + n.b"),  # nested in itself
+        parse_lineage("A", "sites", "src_site_id", "X"),  # no parts
+        parse_lineage("A", "sites", "src_site_id", "x: n.a | y: n.b"),  # alternatives
+        parse_lineage("A", "sites", "src_site_id", "n.a") + parse_lineage("A", "plots", "src_site_id", "n.a"),  # in two tables
+    ):
+        assert entry_slots(Spec(attributes=(), lineage=(*trees, *inner)), "A", trees) is None
+
+
+def test_lineage_tokens_are_the_missing_value_codes():
+    codes = sentinels([("character", "missing", "?", False, False), ("character", "not_applicable", "~", False, True), ("numeric", "missing", "-99", False, False)])
+    assert lineage_tokens(codes) == {"?": "no_id", "~": "not_applicable"}

@@ -122,7 +122,7 @@ def test_run_id():
 
 def test_decode_without_spec(spark, tmp_path):
     run = check_conformance(spark, fish_spec(), frames(spark, dirty(), tmp_path), rules=["code_not_in_list"])
-    assert {i.provider_key_status for i in decode(run.bound, run.issues).collect()} == {"no_lineage_spec"}
+    assert {i.provider_key_status for i in decode(run.bound, run.issues).collect()} == {"fallback_pk"}  # no ID has an entry
 
 
 def test_stream(spark, tmp_path):
