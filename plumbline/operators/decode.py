@@ -93,6 +93,40 @@ def condition_column(b: Bound, t: Table, condition: Condition, flags: dict[str,
     return V.no(found)
 
 
+def add_flags(b: Bound, given: dict[str, DataFrame]) -> dict[str, dict[str, Column]]:
+    """The caller's flags, joined to their tables by primary key: columns by table and name, as text.
+
+    A table of flags holds the primary key and one or more flags. A key that is
+    given twice, or that no record holds, is refused. A record whose key is
+    missing has no flag; all holders of a repeated key have that key's flags.
+    """
+    spec, out = b.spec, {}
+    for name, df in given.items():
+        t = b.tables.get(name)
+        keys = [p.name for p in spec.primary_key(name)]
+        flags = [c for c in df.columns if c not in keys]
+        if t is None or not keys:
+            raise ValueError(f"flags are given for {name}, which is no table with a primary key here")
+        if not set(keys) <= set(df.columns) or not flags:
+            raise ValueError(f"flags of {name} must hold its primary key ({', '.join(keys)}) and a flag")
+        kinds = dict(df.dtypes)
+        texts = {c: V.value_text(F.col(c), kinds[c]) for c in df.columns}
+        whole = ~V.any_of(*[texts[k].isNull() | V.no(V.is_blank(texts[k])) for k in keys])
+        named = [texts[c].alias(f"__flag{k}") for k, c in enumerate(flags)]
+        rows = b.work.keep(df.select(F.when(whole, F.concat_ws("|", *[texts[k] for k in keys])).alias("__flag_key"), *named))
+        twice = rows.groupBy("__flag_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+        if twice:
+            raise ValueError(f"flags of {name} give the key {twice[0]} more than once")
+        own = t.base.select(key_text(spec, t).alias("__own_key"))
+        unknown = rows.join(own, F.col("__flag_key") == F.col("__own_key"), "left_anti").first()
+        if unknown:
+            raise ValueError(f"flags of {name} give the key {unknown[0]}, which no record holds")
+        earlier = [c for c in t.df.columns if c.startswith("__flag")]
+        t.df = t.df.drop(*earlier).withColumn("__own_key", key_text(spec, t)).join(rows, F.col("__own_key") == F.col("__flag_key"), "left").drop("__own_key", "__flag_key")
+        out[name] = {c: F.col(f"__flag{k}") for k, c in enumerate(flags)}
+    return out
+
+
 def decode_table(b: Bound, t: Table, flags: dict[str, dict[str, Column]] | None = None) -> DataFrame:
     """ROW, provider_key, provider_key_status of a table's rows.
 
@@ -177,19 +211,21 @@ def _held_by_parent(b: Bound, t: Table, home: str, conditions: list[Condition],
     return [F.col(n) for n in names]
 
 
-def decode(b: Bound, issues: DataFrame, flags: dict[str, dict[str, Column]] | None = None) -> DataFrame:
+def decode(b: Bound, issues: DataFrame, flags: dict[str, DataFrame] | None = None) -> DataFrame:
     """Issues with their provider key and its status, and a fingerprint of the key.
 
     Keys are decoded once for each table. A key that another record of the table
     has too does not name a record, so such an issue shows the key but its
     fingerprint stays that of the primary key. Record-level issues are joined by
-    row number; column-level ones have no key.
+    row number; column-level ones have no key. flags holds a table of flags by
+    table (see add_flags), which conditions read as flag.<name>.
     """
+    joined_flags = add_flags(b, flags or {})
     parts = None
     for name, t in b.tables.items():
         if name not in b.spec.tables():
             continue
-        found = b.work.keep(decode_table(b, t, flags))
+        found = b.work.keep(decode_table(b, t, joined_flags))
         shared = found.filter("provider_key is not null").groupBy("provider_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("provider_key", F.lit(True).alias("shared"))
         found = found.join(shared, "provider_key", "left")
         n = t.base.groupBy(F.shiftright(ROW, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()

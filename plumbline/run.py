@@ -110,6 +110,7 @@ def run_qc(
     rule_set: RuleSet | None = None,
     overrides: list[dict] | None = None,
     evidence: dict[str, DataFrame] | None = None,
+    flags: dict[str, DataFrame] | None = None,
     reports: bool = True,
     layers: tuple[int, ...] = (0, 1, 2, 3, 4),
 ) -> tuple[Run, str, dict]:
@@ -139,7 +140,7 @@ def run_qc(
     run = check_conformance(spark, spec, tables, layers=layers, group_cols=group_cols, key_col=key_col, settings=settings, rule_set=rule_set, text_tables=text, preflight=False)
     run.preflight = run.metadata["preflight"] = told
     run.metadata["inputs"] = [r | next((s for s in stamps if s["table_name"] == r["table_name"]), {}) for r in run.metadata["inputs"]]
-    issues = decode(run.bound, run.issues)
+    issues = decode(run.bound, run.issues, flags)
     columns = [(c.rule_id, c.table, c.column) for c in run.outcome.checks]
     issues = classify(spark, issues, rule_set, overrides, evidence, resolved["fallback_class"], group_cols, columns)
     run.outcome.issues = run.bound.work.keep(issues)

@@ -125,6 +125,27 @@ def test_decode_without_spec(spark, tmp_path):
     assert {i.provider_key_status for i in decode(run.bound, run.issues).collect()} == {"fallback_pk"}  # no ID has an entry
 
 
+def test_flags(spark, tmp_path):
+    """Conditions read the caller's flags, of the record's own table or of its parent's in a nested ID's table."""
+    lineage = [{"contributor_label": "*", "table_name": "hauls", "attribute_name": "src_haul_id", "source_text": "net.number + net.side"}]
+    when = [{"contributor_label": "*", "table_name": "hauls", "attribute_name": "src_haul_id", "part_order": "1", "part_source": "boat.number", "when": 'flag.towed == "yes"'}, {"contributor_label": "*", "table_name": "hauls", "attribute_name": "src_haul_id", "part_order": "1", "part_source": "far.number", "when": "is_present(flag.towed)"}]
+    spec = fish_spec(lineage=lineage, lineage_when=when, lineage_separators={"*": "_"}, contributors={"LK": "*", "RV": "*", "RS": "*"})
+    assert not [f for f in spec.findings if f.check == "lineage_when_invalid"]
+    run = check_conformance(spark, spec, frames(spark, dirty(), tmp_path), rules=["code_not_in_list"], group_cols=["water_body"])
+    flags = spark.createDataFrame([("H0", "yes"), ("H3", "no"), ("H5", "yes")], "haul_id string, towed string")
+    got = {i.record_pk: i.provider_key for i in decode(run.bound, run.issues, {"hauls": flags}).collect()}
+    assert (got["H0"], got["H3"], got["H4"]) == ("boat.number=0; net.side=x", "far.number=3; net.side=x", "net.number=4; net.side=x")
+    again = decode(run.bound, run.issues, {"hauls": spark.createDataFrame([("H4", "yes")], flags.schema)})  # flags of an earlier call are gone
+    assert {i.record_pk: i.provider_key.split("=")[0] for i in again.filter("record_pk <> 'H6'").collect()} == {"H0": "net.number", "H3": "net.number", "H4": "boat.number"}
+    for rows_, told in (([("H0", "a"), ("H0", "b")], "more than once"), ([("H99", "a")], "no record"), ([(None, "a")], "no record")):
+        with pytest.raises(ValueError, match=told):
+            decode(run.bound, run.issues, {"hauls": spark.createDataFrame(rows_, "haul_id string, towed string")})
+    with pytest.raises(ValueError, match="a flag"):
+        decode(run.bound, run.issues, {"hauls": flags.select("haul_id")})
+    with pytest.raises(ValueError, match="no table"):
+        decode(run.bound, run.issues, {"nowhere": flags})
+
+
 def test_stream(spark, tmp_path):
     from plumbline.streaming.increment import check_stream
 
