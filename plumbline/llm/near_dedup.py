@@ -25,6 +25,7 @@ left outside their star's largest component, against all other blocks.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterable
 
@@ -262,26 +263,31 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
 def components(scratch: common.Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, label) of every node in edges (a, b): label is the component's smallest node.
 
-    Alternates large-star and small-star steps over the edge list until it
-    repeats; every step is a grouped minimum and is written to the shared folder.
+    Each round a node takes the least label among its neighbours', a label takes
+    the least that any node of that label took, and then each node its label's
+    label. So whole trees are hooked to smaller ones and paths halve; rounds grow
+    with the logarithm of a chain's length. Labels only fall, so the rounds end;
+    when nothing changes, neighbours have equal labels.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), f"{name}-0")
     kept = scratch.keep(both, f"{name}-edges")
-    for step in range(1, 64):
-        # the least label among a node's neighbours, then that label's own label: paths halve
+    for step in itertools.count(1):
         near = kept.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        low = scratch.keep(low, f"{name}-low-{step}")  # a table, so that the rows of a frequent label can be split
-        roots = low.select(F.col("node").alias("r"), F.col("label").alias("root"))
-        jumped = low.join(roots, F.col("label") == F.col("r"), "left").select("node", F.least("label", F.coalesce("root", "label")).alias("label"), "old")
+        low = scratch.keep(low, f"{name}-low-{step}")
+        hooks = low.groupBy("old").agg(F.min("label").alias("hook")).withColumnRenamed("old", "of")
+        hooked = low.join(hooks, F.col("node") == F.col("of"), "left").select("node", "old", F.least("label", F.coalesce("hook", "label")).alias("label"))
+        hooked = scratch.keep(hooked, f"{name}-hooked-{step}")  # a table, so that the rows of a frequent label can be split
+        roots = hooked.select(F.col("node").alias("r"), F.col("label").alias("root"))
+        jumped = hooked.join(roots, F.col("label") == F.col("r"), "left").select("node", F.least("label", F.coalesce("root", "label")).alias("label"), "old")
         new = scratch.keep(jumped, f"{name}-{step}")
         done = new.filter(F.col("label") != F.col("old")).isEmpty()
-        scratch.drop(f"{name}-{step - 1}")
+        for gone in (f"{name}-{step - 1}", f"{name}-low-{step}", f"{name}-hooked-{step}"):
+            scratch.drop(gone)
         labels = new.select("node", "label")
         if done:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:

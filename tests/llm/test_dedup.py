@@ -109,6 +109,22 @@ def test_near_longer_texts(spark, block):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+def test_near_long_chain(spark):
+    """600 texts, each similar to its next and to no other: rolling windows over one long text."""
+    from tests.llm.conftest import words
+
+    import random
+
+    text = words(random.Random(23), 4 * 600 + 36).split()
+    rows = [(k, " ".join(text[4 * k : 4 * k + 40])) for k in range(600)]
+    sets = brute_sets(rows)
+    similar = [[100 * len(a & b) >= 75 * len(a | b) for a, b in zip(sets, sets[n:])] for n in (1, 2)]
+    assert all(similar[0]) and not any(similar[1])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_dedup(spark, common.Scratch(spark, "t").keep(frame, "docs")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(k, 0, k == 0) for k in range(600)]
+
+
 def test_near_empty(spark, no_docs):
     assert near_dedup.near_dedup(spark, no_docs).collect() == []
 
