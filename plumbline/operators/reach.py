@@ -16,12 +16,14 @@ def walk(b: Bound, links: list[tuple[Edge, str]], start: dict[str, DataFrame]) -
 
     Links are semi-joins on key text. Each table's reached rows are written
     after a link added to them, and a link is passed again only when its near
-    side has grown.
+    side has grown. Where links form a cycle a pass goes one level deeper in the
+    data, so there may be as many passes as levels.
     """
     spec, reached = b.spec, dict(start)
     sizes = {t: df.count() for t, df in reached.items()}
     seen: dict[int, int] = {}
-    for _ in range(len(b.tables) * max(1, len(links)) + 1):
+    grown = True
+    while grown:  # reached rows only grow, so it ends
         grown = False
         for k, (e, how) in enumerate(links):
             near, far = (e.parent, e.table) if how == "from_parent" else (e.table, e.parent)
@@ -39,8 +41,6 @@ def walk(b: Bound, links: list[tuple[Edge, str]], start: dict[str, DataFrame]) -
             n = kept.count()
             if n > sizes.get(far, 0):
                 reached[far], sizes[far], grown = kept, n, True
-        if not grown:
-            return reached
     return reached
 
 
