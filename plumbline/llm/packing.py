@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common, tokens
 
-#: Beyond this many sources the queues are the sources' hash buckets.
-MAX_QUEUES = 512
+#: A task keeps the starts of MAX_WINDOWS windows for so many queues; with more queues, of fewer windows.
+MAX_QUEUES, MAX_WINDOWS = 512, 4096
 
 
 @dataclass(frozen=True)
@@ -49,18 +50,19 @@ class Phase:
         """The window that serves token x of the queue, counted from the phase's begin."""
         return -(-(x + 1) * self.windows // self.quota[q]) - 1
 
-    def starts(self, w: int) -> list[int]:
+    @cached_property
+    def _quota(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each queue in every window, and what is left over: products of the two with a window stay in 64 bits."""
+        return np.divmod(np.array(self.quota, np.int64), self.windows)
+
+    def starts(self, w: int) -> np.ndarray:
         """Where each queue's part of window w begins in the stream, and where the window ends.
 
         One round of the robin: deficit = carried remainder + quota, the whole part is served.
         """
-        at = self.start + sum(self.served(q, w) for q in range(len(self.quota)))
-        out = []
-        for quota in self.quota:
-            out.append(at)
-            deficit = quota * w % self.windows + quota
-            at += deficit // self.windows
-        out.append(at)
+        whole, rest = self._quota
+        out = np.full(len(whole) + 1, self.start + int((whole * w + rest * w // self.windows).sum()), np.int64)
+        out[1:] += np.cumsum(whole + (rest * w % self.windows + rest) // self.windows)
         return out
 
 
@@ -99,12 +101,12 @@ def pieces_of(phases: list[Phase], q: int, position: int, n: int, length: int, c
             x = position - phase.first[q]
             w = phase.window_of(q, x)
             if (k, w) not in cache:
-                if len(cache) > 4096:
+                if len(cache) > MAX_WINDOWS * MAX_QUEUES // max(len(phase.quota), MAX_QUEUES):
                     cache.clear()
                 cache[k, w] = phase.starts(w)
             here = phase.served(q, w)
             take = min(n, phase.served(q, w + 1) - x)
-            at = cache[k, w][q] + x - here
+            at = int(cache[k, w][q]) + x - here
             position, n = position + take, n - take
             while take:
                 sequence, offset = divmod(at, length)
@@ -138,8 +140,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
     """
     scratch = common.Scratch(spark, "packing")
     docs = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    if weights is None and docs.select("source").distinct().count() > MAX_QUEUES:
-        docs = docs.withColumn("source", F.format_string("queue%04d", F.pmod(F.hash("source"), F.lit(MAX_QUEUES))))
     manifest = scratch.keep(tokens.write_files(docs, scratch.folder("files"), tokenizer, end_id, "source"), "manifest")
     sums = sorted(manifest.groupBy("label").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: (r.label is None, r.label or ""))
     queues = {r.label: q for q, r in enumerate(sums)}

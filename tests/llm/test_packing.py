@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from plumbline.llm import packing
+from plumbline.llm import common, packing
 from plumbline.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -100,5 +100,26 @@ def test_weights_and_many_sources(spark, docs, rows, monkeypatch):
     check(packing.pack(spark, docs, PATH, length=128, with_ids=True).collect(), rows, 128)
 
 
+def test_more_sources_than_512(spark):
+    """Every source is a queue of its own: named in the label, and in its share at the end of each window."""
+    rows = [(k, f"a document {k} of one source among many of them " * (1 + k % 3), f"site{k % 600}") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    docs = common.Scratch(spark, "t").keep(docs, "docs")  # the same rows in the same files for both calls
+    found = packing.pack(spark, docs, PATH, length=128, window_sequences=16, with_ids=True).collect()
+    check(found, rows, 128)
+    assert {(p.doc_id, p.label) for p in found} == {(r[0], r[2]) for r in rows}
+    totals = defaultdict(int)
+    for p in found:
+        totals[p.label] += p.length
+    names = sorted(totals)
+    (phase,) = packing.plan([totals[s] for s in names], None, 128 * 16)
+    assert phase.windows > 5
+    for w in range(phase.windows):
+        end, served = int(phase.starts(w)[-1]), defaultdict(int)
+        for p in found:
+            served[p.label] += max(0, min(p.length, end - (p.sequence_id * 128 + p.offset)))
+        assert [served[s] for s in names] == [totals[s] * (w + 1) // phase.windows for s in names]
+
+
 def test_empty(spark, no_docs):
     assert packing.pack(spark, no_docs, PATH).collect() == []
