@@ -30,7 +30,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(spark, common.table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(spark, common.table(spark, sf_dir, "documents")).drop("class_id")
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

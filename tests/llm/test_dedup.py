@@ -1,5 +1,7 @@
 import hashlib
+import math
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -79,9 +81,9 @@ def brute_components(rows):
     return [(r[0], len(sets[k]), min(least[find(k)], default=None)) for k, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK, 4])
-def test_near(spark, docs, rows, block):
-    got = near_dedup.near_dedup(spark, docs, block).collect()
+@pytest.mark.parametrize("block, chunk", [(near_dedup.BLOCK, near_dedup.CHUNK), (4, 500)])
+def test_near(spark, docs, rows, block, chunk):
+    got = near_dedup.near_dedup(spark, docs, block, chunk=chunk).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute_components(rows), key=key)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -129,10 +131,25 @@ def test_near_empty(spark, no_docs):
     assert near_dedup.near_dedup(spark, no_docs).collect() == []
 
 
+def binomial(k, p, x):
+    """Chance that a binomial count of k draws is below x."""
+    return sum(math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(x))
+
+
+def hypergeometric(union, marked, k, x):
+    return sum(Fraction(math.comb(marked, i) * math.comb(union - marked, k - i), math.comb(union, k)) for i in range(x) if k - i <= union - marked)
+
+
 def test_needed():
-    assert near_dedup.needed(1) == 1 and near_dedup.needed(96) == 72
-    assert all(1 <= near_dedup.needed(s) <= s for s in range(1, near_dedup.K + 1))
-    assert near_dedup.tail(near_dedup.K, 0.75, near_dedup.needed(near_dedup.K)) <= near_dedup.MISS
+    assert near_dedup.needed(1) == 1 and near_dedup.needed(96) == 72 and near_dedup.needed(384) == 288
+    for k in (64, near_dedup.ESTIMATE, near_dedup.K):
+        x = near_dedup.lower_end(k, None)
+        assert binomial(k, 0.75, x) <= near_dedup.MISS < binomial(k, 0.75, x + 1)
+    for size in (60, 100, 150, 333, 1000, 3000, 100_000):
+        assert 1 <= near_dedup.needed(size, 64) <= min(64, size)
+        for union in {size, size + 1, (size + size * 4 // 3) // 2, size * 4 // 3}:
+            if 64 < union < 5000:  # every union that the set can have with a similar one
+                assert hypergeometric(union, -(-3 * union // 4), 64, near_dedup.needed(size, 64)) <= near_dedup.MISS
 
 
 def test_estimates_follow_similarity():
@@ -140,6 +157,42 @@ def test_estimates_follow_similarity():
     pool = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
     a, b = np.sort(rng.choice(pool, 2000, False)), np.sort(rng.choice(pool, 2000, False))
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert abs(near_dedup._estimates([a[:128]], [b[:128]])[0, 0] - true) < 0.2
+    assert abs(near_dedup.estimates([a[:128]], [b[:128]], 128)[0, 0] - true) < 0.2
     small = [np.array([1, 2, 3], np.uint64), np.array([2, 3, 4, 5], np.uint64)]
-    assert near_dedup._estimates(small, small)[0, 1] == pytest.approx(2 / 5)
+    assert near_dedup.estimates(small, small)[0, 1] == pytest.approx(2 / 5)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (1, 50, 700, 5000, 9000)]
+    got = near_dedup.overlaps(sets[:3], sets)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:3]]
+
+
+def test_near_passage_without_links(spark):
+    """300 texts share a passage of five eighths of their words and nothing else: no links, and few lists of the passage."""
+    from tests.llm.conftest import words
+
+    import random
+
+    rng = random.Random(31)
+    passage = words(rng, 300)
+    rows = [(k, f"{passage} {words(rng, 180)}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scratch = common.Scratch(spark, "t")
+    got = near_dedup.near_dedup(spark, scratch.keep(frame, "docs"), chunk=20_000).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(k, k, True) for k in range(300)]
+    stars = [s for s in common.Scratch.live if s.root.split("/")[-1].startswith("near-")][-1]
+    assert spark.read.parquet(stars.path("stars")).count() == 0
+
+
+def test_near_classes_and_carried_columns(spark):
+    """Rows without an id and rows that repeat one: the class tells which belong together."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone twentytwo twentythree twentyfour twentyfive"
+    rows = [(None, base, "a"), (None, base + " more", "b"), (3, base, "c"), (3, base + " more", "d"), (4, "another text of six words here", "e"), (5, None, "f"), (None, "", "g")]
+    got = near_dedup.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, node string"), carry=("node",)).collect()
+    by = {r.node: r for r in got}
+    assert sorted(by) == list("abcdefg")
+    assert len({by[x].class_id for x in "abcd"}) == 1 and by["e"].class_id not in (None, by["a"].class_id)
+    assert by["f"].class_id is None and by["g"].class_id is None
+    assert [by[x].component_id for x in "abcdefg"] == [3, 3, 3, 3, 4, 5, None]
