@@ -8,6 +8,7 @@ a document's own columns are found by name, other columns are ignored).
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
@@ -15,9 +16,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +128,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns that say where a row stands: its file and its number in the file.
+FILE, PLACE = "__file", "__place"
+
+
+def placed(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """docs with FILE and PLACE, the same in every reading.
+
+    A table read from Parquet files has them already; any other is written first.
+    """
+    at = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE)]
+    try:
+        return docs.select("*", *at)
+    except AnalysisException:
+        return scratch.keep(docs, "placed").select("*", *at)
+
+
+def without(scratch: Scratch, docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs of placed() without the rows at the places of `dropped`.
+
+    The dropped places are stored by file, and each reader of a file looks its
+    rows up there, so texts are not shuffled. A list has a number for each
+    dropped row of one file.
+    """
+    folder = scratch.folder("dropped")
+
+    def name(file: str) -> str:
+        return hashlib.sha256(file.encode()).hexdigest()
+
+    def store(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fs, p = filesystem(f"{folder}/{name(key[0])}")
+        fs.create_dir(p, recursive=True)
+        rows = np.unique(pdf[PLACE].to_numpy("<i8"))
+        with fs.open_output_stream(f"{p}/{attempt_name()}") as out:
+            out.write(np.array([len(rows)], "<i8").tobytes() + rows.tobytes())
+        return pdf[:0][[FILE]]
+
+    scratch.keep(dropped.select(FILE, PLACE).groupBy(FILE).applyInPandas(store, f"{FILE} string"), "stored")
+
+    def load(file: str) -> np.ndarray:
+        """Attempts of one task write the same; a file that was cut off is passed over."""
+        fs, p = filesystem(f"{folder}/{name(file)}")
+        for x in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)):
+            with fs.open_input_stream(x.path) as f:
+                data = np.frombuffer((raw := f.read())[: len(raw) // 8 * 8], "<i8")
+            if len(data) and len(data) == data[0] + 1 and len(raw) % 8 == 0:
+                return data[1:]
+        return np.zeros(0, "<i8")
+
+    def task(batches):
+        known: tuple[str, np.ndarray] = ("", np.zeros(0, "<i8"))
+        for batch in batches:
+            files, places = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            gone = np.zeros(batch.num_rows, bool)
+            of = np.array(files.to_pylist(), object)
+            for file in dict.fromkeys(of.tolist()):
+                if known[0] != file:
+                    known = (file, load(file))
+                gone |= (of == file) & np.isin(places, known[1])
+            rest = batch.filter(pa.array(~gone))
+            yield pa.RecordBatch.from_arrays(rest.columns[2:], schema=pa.schema(list(rest.schema)[2:]))
+
+    columns = [c for c in docs.columns if c not in (FILE, PLACE)]
+    kept = docs.select(*columns).schema
+    return docs.select(FILE, PLACE, *[F.col(f"`{c}`") for c in columns]).mapInArrow(task, kept)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -143,9 +213,9 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def spread(spark: SparkSession, df: DataFrame, n: int) -> DataFrame:
-    """One row a task as far as possible, for a small table whose rows each name a file."""
-    return df.coalesce(1).repartition(max(1, n))
+def spread(df: DataFrame, n: int, key: str) -> DataFrame:
+    """About one row a task, for a table of n rows that each name a file: cut at the quantiles of a key that tells them apart."""
+    return df.repartitionByRange(max(1, n), key)
 
 
 #: Most rows that are broadcast; their number is known where this is asked.
@@ -157,6 +227,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column is called so (Spark takes names without regard to case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(key, folds: int, fold: int):
     """crc32 of the id as text, modulo folds, equals fold; a null id is not held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))

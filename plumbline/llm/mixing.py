@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,45 +12,39 @@ from plumbline.llm.prefix import prefix_sums
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@dataclass(frozen=True)
-class Target:
-    source: str | None
-    size: int
-    weight: float
-    target: float
-
-
-def water_fill(sizes: list[int], weights: list[float], total: float, epochs: float) -> list[float]:
-    """Targets in proportion to the weights that add up to total, none above epochs x its size.
+def water_fill(scratch: common.Scratch, sources: DataFrame, total: float, epochs: float) -> DataFrame:
+    """sources (source, size, weight) with target and rank.
 
-    Sources whose proportional part is above their cap are clamped to it, the
-    rest is shared among the others by weight, and so on until none is above.
-    Sources are clamped in order of cap over weight: a source can only be above
-    its cap if all those before it are, so one pass finds the fixed point.
+    Targets are in proportion to the weights, add up to `total`, and none is
+    above epochs x its size: sources whose part is above that cap are clamped to
+    it, the rest is shared among the others by weight, and so on until none is
+    above. Sources are clamped in order of cap over weight: a source can only be
+    above its cap if all those before it are. So running sums of caps and weights
+    in that order give each source the level that holds if those before it are
+    clamped, and the first that stays below its cap sets the level of the rest.
+    Sources may be as many as there are rows: only that one level is collected.
+    A source without weight has target 0.
     """
-    caps = [epochs * s for s in sizes]
-    order = sorted((q for q in range(len(sizes)) if weights[q] > 0), key=lambda q: (caps[q] / weights[q], q))
-    targets = [0.0] * len(sizes)
-    clamped, weight = 0.0, float(sum(weights[q] for q in order))
-    level = 0.0
-    for k, q in enumerate(order):
-        level = (total - clamped) / weight
-        if level * weights[q] <= caps[q]:
-            for r in order[k:]:
-                targets[r] = level * weights[r]
-            break
-        targets[q] = caps[q]
-        clamped += caps[q]
-        weight -= weights[q]
-    return targets
-
-
-def targets(sizes: dict[str | None, int], cycle: list[float], share: float, epochs: float) -> list[Target]:
-    """Sources by code point, null last; their weights repeat the cycle."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weights = [float(cycle[k % len(cycle)]) for k in range(len(names))]
-    found = water_fill([sizes[s] for s in names], weights, share * sum(sizes.values()), epochs)
-    return [Target(s, sizes[s], w, t) for s, w, t in zip(names, weights, found, strict=True)]
+    known = sources.withColumn("cap", F.lit(float(epochs)) * F.col("size")).withColumn("turn", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")))
+    with_weight = prefix_sums(scratch, known.filter("weight > 0"), [], ["turn", "no"], {"clamped": "cap", "passed": "weight", "at": "one"}, "turns-")
+    with_weight = scratch.keep(with_weight, "levels")
+    weights = with_weight.agg(F.sum("weight")).first()[0] or 0.0
+    level = (F.lit(float(total)) - F.col("clamped")) / (F.lit(weights) - F.col("passed"))
+    levels = with_weight.withColumn("level", level)
+    first = levels.filter("level * weight <= cap").agg(F.min(F.struct("at", "level")).alias("x")).first().x
+    target = F.col("cap") if first is None else F.when(F.col("at") >= first["at"], F.lit(first.level) * F.col("weight")).otherwise(F.col("cap"))
+    idle = known.filter("weight <= 0").select("source", "size", F.lit(0.0).alias("target"))
+    return levels.select("source", "size", target.alias("target")).unionByName(idle)
+
+
+def targets(scratch: common.Scratch, sizes: DataFrame, cycle: list[float], share: float, epochs: float) -> DataFrame:
+    """(source, size, target) of sizes (source, size): sources by code point, null last; their weights repeat the cycle."""
+    one = sizes.withColumn("none", F.col("source").isNull()).withColumn("one", F.lit(1).cast("long"))
+    ranked = prefix_sums(scratch, one, [], ["none", "source"], {"no": "one"}, "names-")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("no") % len(cycle) + 1).cast("int"))
+    named = scratch.keep(ranked.select("source", "size", "no", "one", weight.alias("weight")), "named")
+    total = named.agg(F.sum("size")).first()[0] or 0
+    return scratch.keep(water_fill(scratch, named, share * total, epochs), "targets")
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
@@ -61,41 +53,46 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5.0,
     Of each source every document is taken floor(target / size) times, and the
     fraction that is left once more from a seeded order of its documents, up to
     the last one whose middle word the fraction reaches: so a source's taken
-    words are within half a document of its target.
-
-    The order is md5 of seed and doc_id, then doc_id, size; rows that tie in all
-    are taken alike, so reruns agree. Running sums over (source, order, size)
-    find each source's last document; texts are never shuffled, and a source may
-    hold any part of all rows. Null text: size 0; null source: a source of its
-    own, last; null doc_id: ordered by md5 of the seed alone. An empty table
-    gives no rows. Sources are listed on the driver, a row each. Columns of docs
-    that have a name used here are replaced.
+    words are within half a document of its target. Rows of one doc_id and equal
+    texts are taken alike; there, half of them together stand for the document.
+
+    The order is md5 of seed and doc_id, then doc_id, size and a hash of the
+    text, so reruns agree. Running sums over (source, order, size) find each
+    source's last document; texts are never shuffled for that, and a source may
+    hold any part of all rows. Texts reach another task only where sources are
+    too many to broadcast a row for each.
+
+    Null text: size 0; null source: a source of its own, last; null doc_id:
+    ordered by md5 of the seed alone; a text of any length counts whole. An
+    empty table gives no rows. Of docs' own columns those called size,
+    source_size, target, times or taken are replaced; others may have any name.
     """
     scratch = common.Scratch(spark, "mixing")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col("source").cast("string").alias("source"), draw.alias("draw"), F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"))
-    placed = prefix_sums(scratch, rows, ["source"], ["draw", "doc_id", "size"], {"before": "size"})
-    sized = spark.read.parquet(scratch.path("ranged")).groupBy("source").agg(F.sum("size").alias("size")).collect()
-    found = targets({r.source: r["size"] for r in sized}, list(weights), share, epochs)
-    plan = spark.createDataFrame([(t.source, t.size, t.target, *_repeats(t)) for t in found], "_source string, source_size long, target double, _whole long, _rest double")
-    drawn = (F.col("_rest") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("_rest"))
-    last = placed.join(common.small(plan, len(found)), F.col("source").eqNullSafe(F.col("_source"))).filter(drawn).groupBy("source").agg(F.max(F.struct("draw", "doc_id", "size")).alias("_last"))
-    lasts = {r.source: tuple(r._last) for r in last.collect()}
-    plan = spark.createDataFrame([(t.source, t.size, t.target, *_repeats(t), lasts.get(t.source)) for t in found], "_source string, source_size long, target double, _whole long, _rest double, _last struct<draw: string, doc_id: long, size: long>")
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "times", "taken")]
-    sized_docs = docs.select(*own, size.alias("size"))
-    here = F.struct(draw.alias("draw"), F.col("doc_id").cast("long").alias("doc_id"), F.col("size"))
-    more = F.when(here <= F.col("_last"), 1).otherwise(0)
-    mixed = sized_docs.join(common.small(plan, len(found)), F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    times = (F.col("_whole") + more).alias("times")
-    return mixed.select(*own, "size", "source_size", "target", times).withColumn("taken", F.col("size") * F.col("times"))
-
-
-def _repeats(t: Target) -> tuple[int, float]:
-    """Whole repetitions, and the words left to take once more."""
-    whole = int(t.target // t.size) if t.size else 0
-    return whole, t.target - whole * t.size
+    tie = F.xxhash64(F.col("text").cast("string"))
+    order = ["draw", "doc_id", "size", "tie"]
+    rows = docs.select(F.col("source").cast("string").alias("source"), draw.alias("draw"), F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), tie.alias("tie"))
+    placed = prefix_sums(scratch, rows, ["source"], order, {"before": "size"})
+    sizes = spark.read.parquet(scratch.path("ranged")).groupBy("source").agg(F.sum("size").alias("size"))
+    plan = targets(scratch, sizes, list(weights), share, epochs)
+    n = plan.count()
+    # whole repetitions, and the words left to take once more
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(0)).cast("long")
+    plan = plan.select(F.col("source").alias("of"), F.col("size").alias("source_size"), "target", whole.alias("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    drawn = (F.col("rest") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest"))
+    last = placed.join(common.small(plan, n), F.col("source").eqNullSafe(F.col("of"))).filter(drawn).groupBy("source").agg(F.max(F.struct(*order)).alias("last"))
+    plan = plan.join(last, F.col("of").eqNullSafe(F.col("source")), "left").drop("source")
+    plan = scratch.keep(plan, "plan")
+    added = ("size", "source_size", "target", "times", "taken")
+    own = [c for c in docs.columns if c.lower() not in added]
+    its = common.free_name(own, "plan")
+    mixed = docs.join(common.small(plan.select(F.struct("*").alias(its)), n), F.col("source").cast("string").eqNullSafe(F.col(f"{its}.of")))
+    here = F.struct(draw.alias("draw"), F.col("doc_id").cast("long").alias("doc_id"), F.col("size"), tie.alias("tie"))
+    mixed = mixed.select(*[F.col(f"`{c}`") for c in own], size.alias("size"), its)
+    times = F.col(f"{its}.whole") + F.when(here <= F.col(f"{its}.last"), 1).otherwise(0)
+    mixed = mixed.withColumn("times", times)
+    return mixed.select(*[F.col(f"`{c}`") for c in own], "size", f"{its}.source_size", f"{its}.target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 #: Rows-for-rows SQL of the query that mixes documents by the defaults of mix().

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that operators use inside; documents may have columns of these names too.
-CLASHING = "row string, part string, node string, value string, label string, size string, path string, before string, score string, n string, owner string, draw string, place string, local string, sha string, first_id string, times string"
+CLASHING = "row string, part string, node string, value string, label string, size string, path string, before string, score string, n string, owner string, draw string, place string, _source string, _whole string, _rest string, _last string, plan string, PLAN_ string, tie string, times string, key string, class_id string, local string, sha string, first_id string"
 
 
 def words(rng, n):

@@ -1,12 +1,11 @@
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 
-from plumbline.llm import mixing, sharding
+from plumbline.llm import common, mixing, sharding
 
 
 def test_shards(spark, docs, rows):
@@ -50,13 +49,25 @@ def brute_fill(sizes, weights, total, epochs):
         fixed.update(over)
 
 
-@given(st.lists(st.tuples(st.integers(0, 1000), st.sampled_from([1.0, 2.0, 5.0])), min_size=1, max_size=12))
-def test_water_fill(sources):
-    sizes, weights = [s for s, _ in sources], [w for _, w in sources]
-    total = 1.5 * sum(sizes)
-    got = mixing.water_fill(sizes, weights, total, 2.0)
-    assert got == pytest.approx(brute_fill(sizes, weights, total, 2.0))
-    assert sum(got) == pytest.approx(total) and all(t <= 2 * s + 1e-9 for t, s in zip(got, sizes, strict=True))
+@pytest.mark.parametrize("seed", range(6))
+def test_water_fill(spark, seed):
+    rng = random.Random(seed)
+    n = rng.choice([1, 2, 5, 40])
+    sizes = [rng.choice([0, 3, rng.randint(0, 1000)]) for _ in range(n)]
+    names = sorted({f"s{k}" for k in range(n)} - {"s0"}) + [None]
+    frame = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, size long").repartition(3)
+    cycle = [5.0, 2.0, 1.0]
+    got = {r.source: r for r in mixing.targets(common.Scratch(spark, "fill"), frame, cycle, 1.5, 2.0).collect()}
+    want = brute_fill(sizes, [cycle[k % 3] for k in range(n)], 1.5 * sum(sizes), 2.0)
+    assert [got[s].target for s in names] == pytest.approx(want) and [got[s]["size"] for s in names] == sizes
+    assert sum(r.target for r in got.values()) == pytest.approx(1.5 * sum(sizes)) and all(r.target <= 2 * r["size"] + 1e-9 for r in got.values())
+
+
+def test_sources_without_weight(spark):
+    rows = [("a", 10, 1.0, 0, 1), ("b", 10, 0.0, 1, 1), ("c", 10, 3.0, 2, 1)]
+    frame = spark.createDataFrame(rows, "source string, size long, weight double, no long, one long")
+    got = {r.source: r.target for r in mixing.water_fill(common.Scratch(spark, "fill"), frame, 20.0, 2.0).collect()}
+    assert got == {"a": 5.0, "b": 0.0, "c": 15.0}
 
 
 def test_mix(spark, docs, rows):
