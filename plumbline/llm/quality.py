@@ -3,10 +3,10 @@
 One dictionary is built from good, one from bad labelled text. A text is cut
 into blocks of BLOCK bytes, each compressed with either dictionary, so that the
 dictionary counts and not the text's own past. The difference of the two sizes
-over their sum is the text's lean; the sizes' mean over the text's length is
-its density (repetition compresses under any dictionary). A logistic curve over
-lean and density, fitted on labelled texts that built neither dictionary, makes
-them a score.
+over the text's length is its lean. A logistic curve over the lean, fitted on
+labelled texts that built neither dictionary, makes it a score. The curve's
+slope changes at quantiles of the bad texts' leans, since leans crowd there, and
+is nowhere negative.
 """
 
 from __future__ import annotations
@@ -24,41 +24,39 @@ from plumbline.llm import common
 
 #: Labelled documents of either class that training reads: the documented bound of the sample.
 PER_CLASS = 1500
-#: Bytes of a block, blocks of a document that build a dictionary (spread over the whole text), bytes of a dictionary.
-BLOCK, BLOCKS, DICTIONARY = 512, 8, 110 * 1024
+#: Bytes of a block, bytes of a dictionary.
+BLOCK, DICTIONARY = 512, 110 * 1024
 LEVEL = 3
-#: Bytes added to the sizes in a lean, which draws very short texts to 0.
-CALM = 32
+#: Bytes added to the length in a lean, which draws very short texts to 0.
+CALM = 64
+#: Quantiles of the bad texts' leans at which the curve's slope changes.
+KNOTS = (0.75, 0.95)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, and the calibration: means, spreads and weights of (1, lean, density)."""
+    """Dictionaries, and the curve: knots, and the slope from minus infinity and from each knot on; none if nothing was learned."""
 
     good: bytes
     bad: bytes
-    mean: tuple[float, ...]
-    spread: tuple[float, ...]
-    weights: tuple[float, ...]
+    knots: tuple[float, ...]
+    height: float
+    slopes: tuple[float, ...]
     prior: float
 
 
 def dictionary(blocks: list[bytes]) -> bytes:
-    """A zstandard dictionary of the blocks; their plain concatenation if they are too few to train one."""
+    """A zstandard dictionary of the blocks; all of them, one after another, where zstandard finds them too few to train one."""
     import zstandard
 
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks, k=1000, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(blocks)[:DICTIONARY]
+        return b"".join(blocks)
 
 
-def spread_blocks(text: bytes) -> list[bytes]:
-    """At most BLOCKS blocks of the text, evenly spread over all of it."""
-    starts = list(range(0, len(text), BLOCK))
-    if len(starts) > BLOCKS:
-        starts = [starts[k * (len(starts) - 1) // (BLOCKS - 1)] for k in range(BLOCKS)]
-    return [text[a : a + BLOCK] for a in starts]
+def blocks_of(text: bytes) -> list[bytes]:
+    return [text[a : a + BLOCK] for a in range(0, len(text), BLOCK)]
 
 
 class Presses:
@@ -76,14 +74,29 @@ class Presses:
 
         self.good, self.bad = press(good), press(bad)
 
-    def measure(self, text: bytes) -> tuple[float, float]:
-        """Lean (above 0: the good dictionary fits better) and density."""
+    def lean(self, text: bytes) -> float:
+        """Above 0: the good dictionary fits better."""
         g = b = 0
         for a in range(0, len(text), BLOCK):
             block = text[a : a + BLOCK]
             g += len(self.good.compress(block))
             b += len(self.bad.compress(block))
-        return (b - g) / (b + g + CALM), (b + g) / (2 * len(text) + CALM)
+        return (b - g) / (len(text) + CALM)
+
+
+def bends(leans: np.ndarray, knots: tuple[float, ...]) -> np.ndarray:
+    """A column for the lean and one for its excess over each knot."""
+    return np.column_stack([leans, *[np.maximum(0.0, leans - k) for k in knots]])
+
+
+def curve(leans: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float, tuple[float, ...]]:
+    """Knots, height at lean 0 (as if no knot lay below) and slopes of the logistic curve."""
+    knots = tuple(float(k) for k in np.quantile(leans[y == 0], KNOTS))
+    mean, spread, w = calibrate(bends(leans, knots), y, weight)
+    steps = w[1:] / spread
+    slopes = np.maximum(0.0, np.cumsum(steps))
+    steps = np.diff(slopes, prepend=0.0)
+    return knots, float(w[0] - mean @ steps), tuple(float(s) for s in steps)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,10 +117,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 
 
 def score(model: Model, presses: Presses, text: bytes) -> float:
-    if not text or not model.weights:
+    if not text or not model.slopes:
         return model.prior
-    x = presses.measure(text)
-    z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.spread, strict=True))
+    x = presses.lean(text)
+    z = model.height + model.slopes[0] * x + sum(s * max(0.0, x - k) for s, k in zip(model.slopes[1:], model.knots, strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -131,33 +144,32 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
 
     def blocks(batches):
         for batch in batches:
-            found = [(q, b) for q, t in zip(batch.column(0).to_pylist(), common.text_bytes(batch.column(1)), strict=True) for b in spread_blocks(t)]
+            found = [(q, b) for q, t in zip(batch.column(0).to_pylist(), common.text_bytes(batch.column(1)), strict=True) for b in blocks_of(t)]
             yield pa.RecordBatch.from_pydict({"quality": pa.array([q for q, _ in found], pa.int32()), "block": pa.array([b for _, b in found], pa.binary())})
 
-    # at most 2 x per_class x BLOCKS x BLOCK bytes
+    # the texts of at most 2 x per_class documents
     built = sample.filter("builds").select("quality", "text").mapInArrow(blocks, "quality int, block binary").orderBy("quality", "block").collect()
     parts = {q: [bytes(r.block) for r in built if r.quality == q] for q in (0, 1)}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     good, bad = dictionary(parts[1]), dictionary(parts[0])
-    model = Model(good, bad, (), (), (), prior)
+    model = Model(good, bad, (), 0.0, (), prior)
     packed = pickle.dumps((good, bad))
 
     def measure(batches):
         presses = Presses(*pickle.loads(packed))
         for batch in batches:
-            found = [(q, *presses.measure(t)) for q, t in zip(batch.column(0).to_pylist(), common.text_bytes(batch.column(1)), strict=True) if t]
-            yield pa.RecordBatch.from_pydict({"quality": pa.array([x[0] for x in found], pa.int32()), "lean": pa.array([x[1] for x in found], pa.float64()), "density": pa.array([x[2] for x in found], pa.float64())})
+            found = [(q, presses.lean(t)) for q, t in zip(batch.column(0).to_pylist(), common.text_bytes(batch.column(1)), strict=True) if t]
+            yield pa.RecordBatch.from_pydict({"quality": pa.array([x[0] for x in found], pa.int32()), "lean": pa.array([x[1] for x in found], pa.float64())})
 
-    rows = sample.filter("not builds").select("quality", "text").mapInArrow(measure, "quality int, lean double, density double").orderBy("quality", "lean", "density").collect()
+    rows = sample.filter("not builds").select("quality", "text").mapInArrow(measure, "quality int, lean double").orderBy("quality", "lean").collect()
     scratch.release()
     y = np.array([r.quality for r in rows], float)
     if not parts[0] or not parts[1] or len(set(y)) < 2:
         return model
     # each class weighs as in all labels, not as in the sample
     weight = np.where(y == 1, prior * len(y) / y.sum(), (1 - prior) * len(y) / (len(y) - y.sum()))
-    mean, spread, w = calibrate(np.array([[r.lean, r.density] for r in rows]), y, weight)
-    return Model(good, bad, tuple(mean), tuple(spread), tuple(w), prior)
+    return Model(good, bad, *curve(np.array([r.lean for r in rows]), y, weight), prior)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -183,8 +195,8 @@ def rate(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: flo
     """doc_id, held_out, score, predicted for each of docs; held-out labels are not learned from.
 
     A document is held out if crc32 of its id as text is 0 modulo `folds`. A
-    null doc_id is not held out and has no label. Repeated rows score alike. An
-    empty table gives no rows; other columns are ignored, as is the rest of
+    null doc_id is not held out and has no label. Repeated rows score alike; a
+    text of any length is scored whole. An empty table gives no rows; other columns are ignored, as is the rest of
     docs when a text is scored.
     """
     common.prepare(spark)
