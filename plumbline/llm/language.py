@@ -8,7 +8,9 @@ positions gives that sum. A text's score is the sum of its words' logarithms.
 Piece probabilities are fitted by expectation maximisation (forward and
 backward passes over the words of a bounded sample). Words are handled by the
 batch: substrings are found by their polynomial hashes in a table, for all
-words of a length at once. A worker keeps the words that it has scored.
+words of a length at once. A worker keeps the words that it has scored. Words
+of more than AT_ONCE letters are taken one by one, letter by letter, with the
+probabilities scaled on the way, so no run of letters is too long.
 """
 
 from __future__ import annotations
@@ -19,30 +21,33 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
 
-#: Documents a language that training reads, and words a language that it keeps (most frequent first): the documented bounds.
-PER_LANGUAGE, WORDS_KEPT = 300, 15_000
+#: Documents a language that training reads, about: the documented bound of the sample. All their words count.
+PER_LANGUAGE = 400
 ROUNDS = 4
-#: Probability of a letter that is no piece, added count of each piece, and the most letters scored at once.
-FLOOR, ADDED, STRETCH = 1e-7, 0.05, 40
+#: Probability of a letter that is no piece, added count of each piece.
+FLOOR, ADDED = 1e-7, 0.05
+#: Letters of the words that are scored by the batch: FLOOR to this power is a double still.
+AT_ONCE = 40
+#: Letters of a longer word whose pieces are looked up together, and a number below which probabilities are scaled.
+SLICE, FAINT = 4096, 1e-150
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 START = "▁"
 WORD = re.compile(r"[^\W\d_]+")
-_KEPT_WORDS = 300_000
+#: Words that a worker keeps, and their letters.
+_KEPT_WORDS, _KEPT_LETTERS = 300_000, 10_000_000
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case; a run of more than STRETCH letters is cut."""
-    found = WORD.findall(text.lower())
-    if any(len(w) > STRETCH for w in found):
-        found = [w[a : a + STRETCH] for w in found for a in range(0, len(w), STRETCH)]
-    return found
+    """Runs of letters in lower case."""
+    return WORD.findall(text.lower())
 
 
 class Table:
@@ -147,11 +152,81 @@ class Segments:
         return at
 
 
+def pieces_at(table: Table, word: str, longest: int):
+    """For each letter of a word of any length: rows of the pieces of 1, 2, ... `longest` letters that begin there."""
+    for a in range(0, len(word), SLICE):
+        codes = codes_of([word[a : a + SLICE + longest - 1]], min(len(word) - a, SLICE + longest - 1))[0].astype(np.uint64)
+        n_here = min(SLICE, len(word) - a)
+        found = np.full((n_here, longest), -1, np.int32)
+        hashes = np.zeros(len(codes), np.uint64)
+        for n in range(1, min(longest, len(codes)) + 1):
+            hashes = hashes[: len(codes) - n + 1] * BASE + codes[n - 1 :] + np.uint64(1)
+            some = hashes[:n_here]
+            found[: len(some), n - 1] = table.find(some)
+        yield from found
+
+
+def long_word(table: Table, p: np.ndarray, longest: int, word: str) -> np.ndarray:
+    """The logarithm of a marked word's probability under each language, over all segmentations."""
+    ahead = np.zeros((longest + 1, p.shape[1]))  # sums of the segmentations that end 0, 1, ... letters on
+    ahead[0] = 1
+    log = np.zeros(p.shape[1])
+    for rows in pieces_at(table, word, longest):
+        here = ahead[0]
+        if here.min() < FAINT:
+            log += np.log(here)
+            ahead /= here.copy()
+            here = ahead[0]
+        chances = p[rows]
+        if rows[0] < 0:
+            chances[0] = FLOOR
+        ahead[1:] += chances * here
+        ahead[:-1] = ahead[1:]
+        ahead[-1] = 0
+    return log + np.log(ahead[0])
+
+
+def long_expected(table: Table, own: np.ndarray, longest: int, word: str) -> np.ndarray:
+    """Expected count of each piece in a marked word of any length; the last place is for letters that are no piece."""
+    rows = np.array(list(pieces_at(table, word, longest)))
+    chances = own[rows, 0]
+    chances[:, 0] = np.where(rows[:, 0] < 0, FLOOR, chances[:, 0])
+
+    def sums(chances: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over segmentations up to each place; chances[k, n - 1] is of the piece that begins at k."""
+        ahead, log, out = np.zeros(longest + 1), 0.0, np.zeros(len(chances) + 1)
+        ahead[0] = 1
+        for k, some in enumerate(chances):
+            if ahead[0] < FAINT:
+                log += np.log(ahead[0])
+                ahead /= ahead[0]
+            out[k] = log + np.log(ahead[0])
+            ahead[1:] += some * ahead[0]
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0
+        out[-1] = log + np.log(ahead[0])
+        return out
+
+    size = len(word)
+    forward = sums(chances)
+    turned = np.zeros_like(chances)  # read from the end, a piece begins where it ended
+    for n in range(1, min(longest, size) + 1):
+        turned[: size - n + 1, n - 1] = chances[: size - n + 1, n - 1][::-1]
+    backward = sums(turned)[::-1]
+    out = np.zeros(len(own))
+    for n in range(1, min(longest, size) + 1):
+        part = np.exp(forward[: size - n + 1] + backward[n:] - forward[-1]) * chances[: size - n + 1, n - 1]
+        at = rows[: size - n + 1, n - 1]
+        out += np.bincount(np.where(at < 0, len(own) - 1, at), part, len(own))
+    return out
+
+
 def by_length(words: list[str], most: int = 20_000):
-    """(positions, words with a start mark) of each length, in batches."""
+    """(positions, words with a start mark) of each length up to AT_ONCE, in batches."""
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
-        groups.setdefault(len(w), []).append(k)
+        if len(w) <= AT_ONCE:
+            groups.setdefault(len(w), []).append(k)
     for n in sorted(groups):
         for a in range(0, len(groups[n]), most):
             some = groups[n][a : a + most]
@@ -163,6 +238,9 @@ def log_probabilities(table: Table, p: np.ndarray, longest: int, words: list[str
     out = np.zeros((len(words), p.shape[1]))
     for some, marked in by_length(words):
         out[some] = np.log(np.maximum(Segments(table, marked, longest).forward(p)[-1], 1e-300))
+    for k, w in enumerate(words):
+        if len(w) > AT_ONCE:
+            out[k] = long_word(table, p, longest, START + w)
     return out
 
 
@@ -174,8 +252,11 @@ def fit(counts: list[dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -
         own = np.full((len(pieces) + 1, 1), 1.0 / len(pieces))
         own[-1] = 0
         segments = [(Segments(table, marked, longest), np.array([list(words.values())[i] for i in some], float)) for some, marked in by_length(list(words))]
+        long = [(START + w, n) for w, n in words.items() if len(w) > AT_ONCE]
         for _ in range(rounds):
             expected = np.zeros(len(pieces) + 1)
+            for w, n in long:
+                expected += n * long_expected(table, own, longest, w)
             for s, n in segments:
                 f, b = s.forward(own), s.backward(own)
                 scale = n / np.maximum(f[-1][:, 0], 1e-300)
@@ -206,15 +287,17 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.logs = np.zeros((1024, len(self.model.languages)))
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > _KEPT_WORDS:
+        if len(self.known) + len(new) > _KEPT_WORDS or self.letters > _KEPT_LETTERS:
             self.forget()
             new = list(words)
+        self.letters += sum(map(len, new))
         n = len(self.known)
         while len(self.logs) < n + len(new):
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
@@ -243,8 +326,10 @@ _scorers: dict[int, Scorer] = {}
 def train(spark: SparkSession, scratch: common.Scratch, docs: DataFrame, pieces_path: str, per_language: int = PER_LANGUAGE) -> Model:
     """A model from about per_language documents of each lang of docs (lang, text, doc_id); rows without lang are left out.
 
-    Documents are drawn by a hash of their id, at the rate that their language's
-    number calls for. Only word counts, at most WORDS_KEPT a language, reach the driver.
+    Documents are drawn by a hash of their id and text, at the rate that their
+    language's number calls for; rows that repeat both id and text are drawn
+    together and add to the counts of the same words. Each language is fitted by
+    one task, from the counts of all words of its drawn documents.
     """
     docs = docs.filter("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
@@ -253,7 +338,7 @@ def train(spark: SparkSession, scratch: common.Scratch, docs: DataFrame, pieces_
     if not languages:
         return Model((), tuple(pieces), np.zeros((len(pieces) + 1, 0)), np.zeros(0))
     rates = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])
-    drawn = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < rates[F.col("lang")] * (1 << 30))
+    drawn = docs.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(9)), F.lit(1 << 30)) < rates[F.col("lang")] * (1 << 30))
 
     def count(batches):
         for batch in batches:
@@ -264,9 +349,19 @@ def train(spark: SparkSession, scratch: common.Scratch, docs: DataFrame, pieces_
 
     words = drawn.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = scratch.keep(words, "words")
-    counts = [{r.word: r.n for r in words.filter(F.col("lang") == k).orderBy(F.desc("n"), "word").limit(WORDS_KEPT).collect()} for k in languages]
+
+    def fit_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("word")
+        own = vocabulary(pieces_path)
+        p = fit([dict(zip(pdf["word"], pdf["n"], strict=True))], own)
+        return pd.DataFrame({"lang": [key[0]], "p": [p[:, 0]]})
+
+    spread = words.repartition(max(len(languages), common.partitions(spark)), "lang")
+    fitted = {r.lang: r.p for r in spread.groupBy("lang").applyInPandas(fit_one, "lang string, p array<double>").collect()}
+    plain = fit([{}], pieces)[:, 0]  # of a language whose drawn documents have no words
     total = sum(sizes.values())
-    return Model(languages, tuple(pieces), fit(counts, pieces), np.log(np.array([sizes[k] / total for k in languages])))
+    p = np.column_stack([fitted.get(k, plain) for k in languages])
+    return Model(languages, tuple(pieces), p, np.log(np.array([sizes[k] / total for k in languages])))
 
 
 def identify(spark: SparkSession, docs: DataFrame, pieces_path: str, folds: int = 3, fold: int = 1) -> DataFrame:
@@ -275,9 +370,10 @@ def identify(spark: SparkSession, docs: DataFrame, pieces_path: str, folds: int
     Learns from rows that are not held out (crc32 of the id as text is `fold`
     modulo `folds`) and have a lang. A null text, or one without a letter, is
     `und` with score 0, as is every text where nothing could be learned. score
-    is the predicted language's share of the calmed likelihoods. Repeated rows
-    are predicted alike; a null doc_id is not held out. An empty table gives no
-    rows; other columns are ignored.
+    is the predicted language's share of the calmed likelihoods. A text of any
+    length is scored whole, its runs of letters too. Repeated rows are predicted
+    alike; a null doc_id is not held out. An empty table gives no rows; other
+    columns are ignored.
     """
     scratch = common.Scratch(spark, "language")
     held = common.held_out(F.col("doc_id"), folds, fold)
