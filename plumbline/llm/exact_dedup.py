@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm import common
 
@@ -142,11 +143,11 @@ def _load(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sha", pa.string()), ("local", pa.int64()), ("text", pa.binary())])
+ROWS = [("doc_id", pa.int64()), ("row", pa.int64()), ("sha", pa.string()), ("local", pa.int64()), ("text", pa.binary())]
 ROWS_DDL = "doc_id long, row long, sha string, local long, text binary"
 
 
-def _look(folder: str, bits: int):
+def _look(folder: str, bits: int, schema: pa.Schema):
     """Second reading. local is null for a text known to be unique, else its group in this partition.
 
     The first row of a local group carries the text. A fingerprint that the
@@ -177,23 +178,27 @@ def _look(folder: str, bits: int):
                     known = groups[text] = (part << 36) + len(groups)
                 local.append(known)
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(range((part << 36) + row, (part << 36) + row + n), pa.int64()), pa.array([d.hex() for d in digests]), pa.array(local, pa.int64()), pa.array(kept, pa.binary())], schema=ROWS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(range((part << 36) + row, (part << 36) + row + n), pa.int64()), pa.array([d.hex() for d in digests]), pa.array(local, pa.int64()), pa.array(kept, pa.binary()), *batch.columns[2:]], schema=schema)
             row += n
 
     return task
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal if identical after lower-casing A to Z. Of equal texts the
     row with the largest doc_id is kept; of rows that tie in doc_id too, one.
-    A null text is empty; a null doc_id is below all others. `row` numbers the
-    rows within this result. An empty table gives no rows; other columns are
-    ignored.
+    A null text is empty; a null doc_id is below all others; a text of any
+    length is compared whole. `row` numbers the rows within this result. An empty
+    table gives no rows; other columns are ignored, but for those named in
+    `carry`, which the result has too.
     """
     scratch = common.Scratch(spark, "exact")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    carried = [f for f in docs.schema.fields if f.name in carry]
+    schema = pa.schema([*ROWS, *[(f.name, to_arrow_type(f.dataType)) for f in carried]])
+    ddl = ", ".join([ROWS_DDL, *[f"`{f.name}` {f.dataType.simpleString()}" for f in carried]])
     n = max(1, docs.count())
     bits = min(63, (n - 1).bit_length() + SPARE)
     owner_bits = min(bits - 1, max(3, (4 * max(common.partitions(spark), n // 500_000)).bit_length()))
@@ -201,17 +206,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     answers = messages.groupBy("owner").applyInPandas(_answer, ANSWERS)
     folder = scratch.folder("answers")
     scratch.keep(answers.groupBy("part").applyInPandas(_store(folder, bits - owner_bits), "part int, n long"), "sent")
-    rows = scratch.keep(docs.mapInArrow(_look(folder, bits), ROWS_DDL), "rows")
+    rows = scratch.keep(docs.mapInArrow(_look(folder, bits, schema), ddl), "rows")
 
-    unique = rows.filter("local is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "row")
-    suspects = rows.filter("local is not null").select("doc_id", "row", "sha", "local")
+    unique = rows.filter("local is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "row", *carry)
+    suspects = rows.filter("local is not null").select("doc_id", "row", "sha", "local", *carry)
     best = F.max(F.struct(F.col("doc_id").alias("id"), (-F.col("row")).alias("at")))
     locals_ = suspects.groupBy("local").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
     texts = rows.filter("text is not null").select("local", "sha", "text")
     equal = Window.partitionBy("sha", "text")  # a row for each partition that holds the text
     groups = texts.join(locals_, "local").select(F.col("local").alias("of"), F.max("best").over(equal).alias("best"), F.sum("n").over(equal).alias("group_size"))
     groups = scratch.keep(groups, "groups")
-    repeated = suspects.join(groups, F.col("local") == F.col("of")).select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.at")).alias("kept"), F.col("sha").alias("text_sha256"), "row")
+    repeated = suspects.join(groups, F.col("local") == F.col("of")).select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.at")).alias("kept"), F.col("sha").alias("text_sha256"), "row", *carry)
     return unique.unionByName(repeated)
 
 
