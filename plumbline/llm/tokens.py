@@ -16,6 +16,7 @@ Layout, little-endian::
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import struct
@@ -70,13 +71,31 @@ _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
 
 
+#: Parts of a tokenizer file under which the ids of a text are those of its words (fixed values).
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
 class Encoder:
     """Ids of whole texts by a `tokenizers` file, with a cache of words.
 
     The vocabulary's normaliser and pre-tokeniser never join anything across
-    ASCII white space, so the ids of a text are those of its words in turn. The
-    cache is cleared at `limit` words, so memory stays bounded. Texts that could
-    hold a special token's string take the plain path.
+    ASCII white space, so the ids of a text are those of its words in turn. That
+    holds for files with the normaliser and pre-tokeniser of KNOWN; texts of any
+    other file take the plain path, the tokenizer's own. The cache is cleared at
+    `limit` words, so memory stays bounded. Texts that could hold a special
+    token's string take the plain path too.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -89,6 +108,10 @@ class Encoder:
         self.model = self.tokenizer.model
         self.limit = limit
         self.cache: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        named = [t["content"] for t in parts.get("added_tokens", [])]
+        self.word_by_word = {k: parts.get(k) for k in KNOWN} == KNOWN and all(t.startswith("<|") for t in named)
 
     @property
     def vocabulary(self) -> int:
@@ -121,7 +144,7 @@ class Encoder:
 
     def encode(self, data: bytes) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit integers."""
-        if b"<|" in data:
+        if not self.word_by_word or b"<|" in data:
             return self.plain(data)
         words = (data.lower() if data.isascii() else data).split()
         new = {w for w in set(words) if w not in self.cache}
@@ -280,11 +303,12 @@ def open_file(path: str) -> Reader:
 def encode_in_order(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> list[tuple[str, int, int]]:
     """Token files in ascending doc_id order: (path, ids of all files before it, ids in it).
 
-    A range partitioning by doc_id puts the order across files, a sort within
+    A range partitioning by doc_id and the text's start puts the order across files, a sort within
     each partition the order in them. The list has a row for each file, so its
     length is the number of partitions, whatever the corpus holds.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    start = F.substring("text", 1, 32)  # so that the rows of one doc_id, or of none, may lie in many files
+    ordered = docs.select("doc_id", "text").repartitionByRange(common.partitions(spark), F.col("doc_id"), start).sortWithinPartitions("doc_id", "text")
     files = sorted(write_files(ordered, folder, tokenizer, end_id).collect(), key=lambda r: r.part)
     out, before = [], 0
     for r in files:
@@ -315,7 +339,7 @@ def read_documents(spark: SparkSession, files: list[tuple[str, int, int]]) -> Da
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
     listed = spark.createDataFrame([(p, b) for p, b, _ in files], "path string, before long")
-    return common.spread(spark, listed, len(files)).mapInArrow(task, DOC_ROWS)
+    return common.spread(listed, len(files), "path").mapInArrow(task, DOC_ROWS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
@@ -323,7 +347,8 @@ def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
 
     Nulls: a null text is empty (its ids are the end id alone); a null doc_id
     sorts first and stays null. Repeated doc_ids are separate documents, ordered
-    by text. An empty table gives no files and no rows. Other columns are ignored.
+    by text. A text of any length is encoded whole.
+    An empty table gives no files and no rows. Other columns are ignored.
     """
     scratch = common.Scratch(spark, "tokens")
     files = encode_in_order(spark, docs, scratch.folder("files"), tokenizer, end_id)

@@ -92,3 +92,13 @@ def test_files_against_plain_encoding(spark, docs, rows, plain):
 
 def test_empty(spark, no_docs):
     assert tokens.token_files(spark, no_docs, PATH).collect() == []
+
+
+def test_another_tokenizer_file_takes_its_own_path():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    encoder, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.word_by_word and tokens.Encoder(PATH).word_by_word
+    for text in ("Two  words", " a\tb\n\nC", "don't", ""):
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
