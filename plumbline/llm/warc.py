@@ -147,7 +147,7 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
                 if found:
                     yield rows(found)
 
-    return common.spread(spark, spark.createDataFrame([(p,) for p in paths], "path string"), len(paths)).mapInArrow(task, OUT_DDL)
+    return common.spread(spark.createDataFrame([(p,) for p in paths], "path string"), len(paths), "path").mapInArrow(task, OUT_DDL)
 
 
 def archive(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
@@ -159,9 +159,11 @@ def archive(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
 
     Only digests are grouped and joined; a page's html moves once, to the join
     with its decision by page_id, which no group of copies skews. A null html is
-    empty. A null page_id is never referred to, and is a response. Rows that
-    repeat a page_id with equal payload are one response each. An empty table
-    gives no rows; other columns are ignored.
+    empty, a null url too; a payload of any length is one record. A null page_id
+    is never referred to, and is a response. Rows that repeat a page_id with
+    equal payload are one response each. An empty table gives no rows; other
+    columns are ignored. A revisit whose response is not there with the same
+    digest is an error.
     """
     scratch = common.Scratch(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -171,7 +173,17 @@ def archive(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
     on = (F.col("page_id") == F.col("of")) & (F.sha2(F.col("html").cast("binary"), 256) == F.col("same"))
     told = pages.join(again, on, "left").select("page_id", "url", "html", "refers_to")
     paths = [r.path for r in write_archives(told, scratch.folder("archives")).collect()]  # a row for each partition
-    return read_archives(spark, paths)
+    rows = scratch.keep(read_archives(spark, paths), "rows")
+    lost = unanswered(rows).first()
+    if lost is not None:
+        raise ValueError(f"page {lost.page_id}: no response of page {lost.refers_to} has its digest")
+    return rows
+
+
+def unanswered(rows: DataFrame) -> DataFrame:
+    """Revisits (of OUT's rows) that refer to a page without a response of their payload's digest."""
+    responses = rows.filter("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("same"))
+    return rows.filter("record_type = 'revisit'").join(responses, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("same")), "left_anti")
 
 
 #: Rows-for-rows SQL of the query over pages. Base32 takes 5 bits of the SHA-1 at a time, from 20 bits in 5 hexadecimal digits.

@@ -48,3 +48,9 @@ def test_reader_checks():
     with pytest.raises(ValueError, match="digest"):
         list(warc.read_records(io.BytesIO(press.compress(plain) + press.flush())))
     assert [len(m) > 0 for m in warc.members(io.BytesIO(one + two), piece=7)] == [True, True]
+
+
+def test_revisits_without_their_response(spark):
+    rows = [(1, 0, "A", "response", None), (2, 0, "A", "revisit", 1), (3, 0, "B", "revisit", 1), (4, 0, "A", "revisit", 9)]
+    frame = spark.createDataFrame(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert sorted(r.page_id for r in warc.unanswered(frame).collect()) == [3, 4]
