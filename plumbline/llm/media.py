@@ -296,8 +296,9 @@ def store_media(spark: SparkSession, docs: DataFrame, with_payload: bool = False
     media_sha256, feature, n_chunks; with_payload adds the payload.
 
     A null text is empty: its payload is 64 zero bytes. A null doc_id stays
-    null; repeated rows are separate documents that share all chunks. An empty
-    table gives no rows; other columns are ignored.
+    null; repeated rows are separate documents that share all chunks. A long text
+    has as many chunks as its cuts give. An empty table gives no rows; other
+    columns are ignored.
     """
     scratch = common.Scratch(spark, "media")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -309,10 +310,10 @@ def store_media(spark: SparkSession, docs: DataFrame, with_payload: bool = False
     packs = chunks.groupBy("part").agg(F.first("path").alias("path"))
     n_packs = packs.count()
     owned = resolved.filter(F.col("owner") == own).groupBy("part").agg(F.collect_list(F.struct("chunk", "at", "size", "off", "n")).alias("own"))
-    places = scratch.keep(common.spread(spark, packs.join(owned, "part", "left").select("part", "path", "own"), n_packs).mapInArrow(_sealed_packs(scratch.folder("packs")), PLACES_DDL), "places")
+    places = scratch.keep(common.spread(packs.join(owned, "part", "left").select("part", "path", "own"), n_packs, "part").mapInArrow(_sealed_packs(scratch.folder("packs")), PLACES_DDL), "places")
     scratch.drop("first")
     homes = places.filter("owner < 0").select((-1 - F.col("owner")).alias("part"), F.col("path").alias("home"))
     located = resolved.select("part", "chunk", "owner").join(places, "owner")
     lists = located.groupBy("part").agg(F.collect_list(F.struct("chunk", "path", "at", "size", "off", "n")).alias("chunks"))
     recipes = homes.join(lists, "part", "left").select("home", "chunks")
-    return common.spread(spark, recipes, n_packs).mapInArrow(_read_back(with_payload), MEDIA_DDL + ", payload binary" * with_payload)
+    return common.spread(recipes, n_packs, "home").mapInArrow(_read_back(with_payload), MEDIA_DDL + ", payload binary" * with_payload)

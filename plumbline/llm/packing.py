@@ -136,7 +136,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
 
     Nulls: a null text is empty (its ids are the end id alone); a null doc_id
     stays null; null is a source of its own. Repeated rows are separate
-    documents. An empty table gives no rows. Other columns are ignored.
+    documents. A long text is cut over as many sequences as it needs. An empty
+    table gives no rows. Other columns are ignored.
     """
     scratch = common.Scratch(spark, "packing")
     docs = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
@@ -173,19 +174,22 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     n_files = manifest.select("path").distinct().count()
-    return common.spread(spark, files, n_files).mapInArrow(task, PIECES + ", ids binary" * with_ids)
+    return common.spread(files, n_files, "path").mapInArrow(task, PIECES + ", ids binary" * with_ids)
 
 
 def sequences(pieces: DataFrame, length: int = 2048, pad_id: int = 0) -> DataFrame:
     """The sequences themselves, from pieces with ids: sequence_id, n_tokens, ids (padded), doc_ids.
 
     A group has at most `length` tokens. A short sequence is padded to `length`,
-    but for one whose size is a power of two already.
+    but for one whose size is a power of two already. Null doc_ids stay null, a
+    document of several pieces in a sequence is named for each, and no pieces
+    give no sequences; other columns are ignored.
     """
-    padded = F.udf(lambda data, n: bytes(data) if n & (n - 1) == 0 else bytes(data) + int(pad_id).to_bytes(4, "little") * (length - n), "binary")
+    n = F.col("n_tokens")
+    padded = F.rpad(F.col("ids"), 4 * length, F.lit(int(pad_id).to_bytes(4, "little")))
     return (
         pieces.groupBy("sequence_id")
         .agg(F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", F.hex("ids").alias("ids")))).alias("p"))
         .select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_tokens"), F.unhex(F.array_join(F.col("p.ids"), "")).alias("ids"), F.col("p.doc_id").alias("doc_ids"))
-        .withColumn("ids", padded("ids", "n_tokens"))
+        .withColumn("ids", F.when(n.bitwiseAND(n - 1) == 0, F.col("ids")).otherwise(padded))
     )

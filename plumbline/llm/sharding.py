@@ -19,7 +19,8 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8) -> DataFrame:
 
     The text goes no further than the scan: sizes and checksums alone are
     shuffled. Ties in doc_id are ordered by checksum and size; rows that tie in
-    these too are alike. A null doc_id sorts first. An empty table gives no rows.
+    these too are alike. A null doc_id sorts first; a text longer than a shard
+    fills one alone. An empty table gives no rows; other columns are ignored.
     """
     scratch = common.Scratch(spark, "sharding")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

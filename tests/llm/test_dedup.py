@@ -61,7 +61,8 @@ def brute_sets(rows):
     return out
 
 
-def brute_components(rows):
+def brute_classes(rows):
+    """A number for each row, equal where links lead from one to the other."""
     sets = brute_sets(rows)
     up = list(range(len(rows)))
 
@@ -74,11 +75,16 @@ def brute_components(rows):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 up[find(i)] = find(j)
+    return [find(k) for k in range(len(rows))]
+
+
+def brute_components(rows):
     least = defaultdict(list)
-    for k, r in enumerate(rows):
+    classes, sets = brute_classes(rows), brute_sets(rows)
+    for c, r in zip(classes, rows, strict=True):
         if r[0] is not None:
-            least[find(k)].append(r[0])
-    return [(r[0], len(sets[k]), min(least[find(k)], default=None)) for k, r in enumerate(rows)]
+            least[c].append(r[0])
+    return [(r[0], len(s), min(least[c], default=None)) for c, r, s in zip(classes, rows, sets, strict=True)]
 
 
 @pytest.mark.parametrize("block, chunk", [(near_dedup.BLOCK, near_dedup.CHUNK), (4, 500)])
