@@ -2,12 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last
 return the columns of documents. run() writes each stage as Parquet in the
-shared folder and reads it back as the next one's docs.
+shared folder and reads it back as the next one's docs. An empty table goes
+through every stage as one. Columns of docs other than COLUMNS are left out, so
+their names clash with nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import common, exact_dedup, mixing, near_dedup, packing, quality
@@ -16,49 +18,67 @@ from plumbline.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents that score below are rejected.
 THRESHOLD = 0.3
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject. It learns from all labels."""
+    """Documents that the compression classifier does not reject. It learns from all labels.
+
+    A null or empty text has the score of no evidence, the share of good labels,
+    and goes or stays by it; a long text is scored whole. Repeated rows are
+    scored alike, each for itself; labels of a null doc_id are not read.
+    """
     common.prepare(spark)
     model = quality.train(spark, docs, common.table(spark, sf_dir, "labels"))
     return quality.score_documents(docs.select(*COLUMNS), model).filter(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
 
-def _keep(docs: DataFrame, result: DataFrame, text: Column) -> DataFrame:
-    """Documents that the result keeps, told apart by doc_id and the SHA-256 of their text as the operator took it.
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal after lower-casing A-Z: the one with the largest doc_id.
 
-    Only what goes is joined, which may be little. Of rows that repeat both
-    and of which one is kept, one stays.
+    Of rows that tie in doc_id too, one. Null and empty texts are one group; a
+    null doc_id is below all others. Rows are told apart by their place in the
+    table, so repeated rows go too.
     """
-    verdicts = result.groupBy(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    odd = verdicts.filter("not stays or n > 1")
-    marked = docs.select(*COLUMNS, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("sha_")).withColumnRenamed("doc_id", "id_")
-    same = F.col("id_").eqNullSafe(F.col("of")) & (F.col("sha_") == F.col("sha"))
-    once = marked.join(odd, same, "left_anti")
-    repeated = marked.join(odd.filter("stays"), same, "left_semi").dropDuplicates(["id_", "sha_"])
-    return once.unionByName(repeated).withColumnRenamed("id_", "doc_id").select(*COLUMNS)
-
-
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal texts."""
-    return _keep(docs, exact_dedup.exact_dedup(spark, docs), F.translate("text", UPPER, UPPER.lower()))
+    scratch = common.Scratch(spark, "exact-stage")
+    docs = common.placed(scratch, docs.select(*COLUMNS))
+    found = exact_dedup.exact_dedup(spark, docs, carry=(common.FILE, common.PLACE))
+    return common.without(scratch, docs, found.filter("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return _keep(docs, near_dedup.near_dedup(spark, docs), F.col("text"))
+    """One row of each near-duplicate component: the one with the smallest doc_id, then the least SHA-256 of its text.
+
+    Of rows that tie in both, the first by place. A null doc_id is above all
+    others here, so such a row stays only where its component has no other. A
+    null text, or one without words, is in no component and stays.
+    """
+    scratch = common.Scratch(spark, "near-stage")
+    docs = common.placed(scratch, docs.select(*COLUMNS))
+    found = near_dedup.near_dedup(spark, docs, carry=(common.FILE, common.PLACE)).filter("class_id is not null")
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256", common.FILE, common.PLACE)
+    found = scratch.keep(found.select("class_id", one.alias("one")), "found")
+    heads = found.groupBy("class_id").agg(F.min("one").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dropped = found.join(heads.select(F.col("class_id").alias("of"), "head"), F.col("class_id") == F.col("of")).filter("one <> head")
+    return common.without(scratch, docs, dropped.select(f"one.{common.FILE}", f"one.{common.PLACE}"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, which may be never or several times.
+
+    A null source is a source of its own; a text without words counts 0 words and
+    is taken as often as its source's whole repetitions say. Rows that repeat a
+    doc_id and text are taken alike.
+    """
     mixed = mixing.mix(spark, docs.select(*COLUMNS))
     return mixed.filter("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    Every row is packed, repeated ones each for itself; a null or empty text is
+    its end id alone; a long text is cut over as many sequences as it needs.
+    """
     return packing.pack(spark, docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
