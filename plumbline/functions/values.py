@@ -53,6 +53,7 @@ def number_text(x: Column) -> Column:
         .when(x == float("inf"), "Inf")
         .when(x == float("-inf"), "-Inf")
         .when(x == 0, "0")
+        .when((size < 1e15) & (F.floor(x) == x), x.cast("bigint").cast("string"))  # up to 15 digits, so nothing is rounded
         .otherwise(plain)
     )
 

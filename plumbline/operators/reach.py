@@ -11,18 +11,44 @@ from plumbline.operators.rules import Check, Context, each, not_run, record
 from plumbline.plans.model import Edge
 
 
-def walk(b: Bound, links: list[tuple[Edge, str]], start: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def holding(b: Bound, table: str, name: str, other) -> DataFrame:
+    """The table's rows that hold a key; all of them if the key column was not given."""
+    t = b.tables[table]
+    rows = t.base if not t.has(name) else t.base.filter(B.join_key(b.spec, t, b.spec.attribute(table, name), other).isNotNull())
+    return rows.select(ROW)
+
+
+def sides(b: Bound, e: Edge, how: str) -> tuple[tuple, tuple]:
+    """A link's near and far side: table, key column, the other side's attribute."""
+    child = (e.table, e.attribute, b.spec.attribute(e.parent, e.parent_key))
+    parent = (e.parent, e.parent_key, b.spec.attribute(e.table, e.attribute))
+    return (parent, child) if how == "from_parent" else (child, parent)
+
+
+def walk(b: Bound, links: list[tuple[Edge, str]], start: dict[str, DataFrame], loose: list[tuple[Edge, str]] = ()) -> dict[str, DataFrame]:
     """Rows reached from `start` (rows by table): passes over the links until one reaches nothing new.
 
     Links are semi-joins on key text. Each table's reached rows are written
     after a link added to them, and a link is passed again only when its near
     side has grown. Where links form a cycle a pass goes one level deeper in the
-    data, so there may be as many passes as levels.
+    data, so there may be as many passes as levels. A loose link lacks a key
+    column: once a reached row on its near side holds a key, every row on its far
+    side that holds one is reached.
     """
     spec, reached = b.spec, dict(start)
     sizes = {t: df.count() for t, df in reached.items()}
     seen: dict[int, int] = {}
+    waiting = list(loose)
     grown = True
+
+    def add(far: str, new: DataFrame) -> bool:
+        kept = b.work.keep(new.union(reached[far]).distinct() if far in reached else new)
+        n = kept.count()
+        if n <= sizes.get(far, 0):
+            return False
+        reached[far], sizes[far] = kept, n
+        return True
+
     while grown:  # reached rows only grow, so it ends
         grown = False
         for k, (e, how) in enumerate(links):
@@ -36,19 +62,21 @@ def walk(b: Bound, links: list[tuple[Edge, str]], start: dict[str, DataFrame]) -
             (nt, nk), (ft, fk_) = ((parent, parent_key), (child, child_key)) if how == "from_parent" else ((child, child_key), (parent, parent_key))
             near_keys = nt.base.select(ROW, nk.alias("__key")).join(reached[near], ROW, "left_semi").select("__key").filter("__key is not null").distinct()
             new = ft.base.select(ROW, fk_.alias("__key")).join(near_keys, "__key", "left_semi").select(ROW)
-            total = new.union(reached[far]).distinct() if far in reached else new
-            kept = b.work.keep(total)
-            n = kept.count()
-            if n > sizes.get(far, 0):
-                reached[far], sizes[far], grown = kept, n, True
+            grown |= add(far, new)
+        for e, how in list(waiting):
+            near, far = sides(b, e, how)
+            if near[0] in reached and not holding(b, *near).join(reached[near[0]], ROW, "left_semi").isEmpty():
+                waiting.remove((e, how))
+                grown |= add(far[0], holding(b, *far))
     return reached
 
 
 def unreachable(ctx: Context) -> list[Check]:
     """A check for each walked table: rows that the walk leaves out, at their topmost.
 
-    Where a table or key column of a link was not given, a second walk takes it
-    as reaching all it could; rows that only it reaches are not checked.
+    Where a table or key column of a link was not given, a second walk takes the
+    table as a root and follows the link without its column (see walk()); rows
+    that only it reaches are not checked.
     """
     b, spec = ctx.bound, ctx.spec
     if spec.reach is None:
@@ -66,18 +94,17 @@ def unreachable(ctx: Context) -> list[Check]:
         return [not_run("record_unreachable", a.table, a.name, "no_table") for a in firsts]
     start = {t: b.tables[t].base.select(ROW) for t in roots}
     reached = walk(b, usable, start)
-    loose: dict[str, DataFrame] = dict(start)
+    more, loose = dict(start), []
     for e, how in followed:
-        if (e, how) in usable:
-            continue
-        far = e.table if how == "from_parent" else e.parent
-        t = b.tables.get(far)
-        if t is None:
+        (near, *_), far = sides(b, e, how)
+        if (e, how) in usable or far[0] not in b.tables:
             continue
-        name, other = (e.attribute, spec.attribute(e.parent, e.parent_key)) if how == "from_parent" else (e.parent_key, spec.attribute(e.table, e.attribute))
-        could = t.base.select(ROW) if not t.has(name) else t.base.filter(B.join_key(spec, t, spec.attribute(far, name), other).isNotNull()).select(ROW)
-        loose[far] = loose[far].union(could).distinct() if far in loose else could
-    possible = walk(b, usable, loose) if len(usable) < len(followed) else None
+        if near in b.tables:
+            loose.append((e, how))
+        else:
+            could = holding(b, *far)
+            more[far[0]] = more[far[0]].union(could).distinct() if far[0] in more else could
+    possible = walk(b, usable, more, loose) if len(usable) < len(followed) else None
 
     def evaluate(t, a):
         none = b.spark.createDataFrame([], f"{ROW} long")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import values as V
-from plumbline.operators.bind import ROW, Bound, Table
+from plumbline.operators.bind import OTHER, ROW, SPLITS, Bound, Table
 from plumbline.operators.rules import FAMILIES, Check, Context, repeats
 from plumbline.plans.model import Spec
 from plumbline.plans.registry import BY_ID, ORDER
@@ -38,11 +39,24 @@ CORRECTIONS = "correction_id long, run_id string, issue_id long, related_issue_i
 
 @dataclass
 class Outcome:
+    """What a run found. Issues are numbered and stored when they are first asked for."""
+
     results: DataFrame
-    issues: DataFrame
+    build: Callable[[], DataFrame]
     corrections: DataFrame
     checks: list[Check]
     not_expected: list[str]
+    _issues: DataFrame | None = None
+
+    @property
+    def issues(self) -> DataFrame:
+        if self._issues is None:
+            self._issues = self.build()
+        return self._issues
+
+    @issues.setter
+    def issues(self, issues: DataFrame) -> None:
+        self._issues = issues
 
 
 def gather(ctx: Context, rule_set: RuleSet) -> tuple[list[Check], list[str]]:
@@ -70,7 +84,7 @@ def key_text(spec: Spec, t: Table) -> Column:
     if not parts:
         return F.lit(None).cast("string")
     texts = [t.text(p, spec) for p in parts]
-    return F.when(~V.any_of(*[x.isNull() | V.no(V.is_blank(x)) for x in texts]), F.concat_ws("|", *texts))
+    return F.when(~V.any_of(*[x.isNull() | t.blank(p) for x, p in zip(texts, parts, strict=True)]), F.concat_ws("|", *texts))
 
 
 def cells_of(ctx: Context, t: Table, checks: list[Check]) -> DataFrame | None:
@@ -105,7 +119,7 @@ def cells_of(ctx: Context, t: Table, checks: list[Check]) -> DataFrame | None:
             effective[f"__e{c.index}"] = F.col(f"__f{c.index}") & root.isNull()
             by_column.setdefault(c.column, []).append(c)
         df = df.withColumns(effective)
-    null, no = F.lit(None).cast("string"), F.lit(False)
+    null, through = F.lit(None).cast("string"), F.col(OTHER) if OTHER in df.columns else F.lit(False)
     for c in checks:
         a = spec.attribute(c.table, c.column)
         own = t.text(a, spec) if a is not None and t.has(a.name) else null
@@ -120,10 +134,13 @@ def cells_of(ctx: Context, t: Table, checks: list[Check]) -> DataFrame | None:
             value = value.when(failed, c.value.cast("string"))
         given = F.when(failed, expected) if c.expected is not None else null
         state = state.otherwise(PASS)
-        structs.append(F.struct(F.lit(c.index).alias("check"), state.alias("cell"), value.alias("value"), given.alias("expected"), mask.alias("root"), (no if c.other_unit is None else V.no(c.other_unit)).alias("other")))
-    held = F.filter(F.array(*structs), lambda x: x["cell"] != PASS)
+        found = F.struct(F.lit(c.index).alias("check"), state.alias("cell"), value.alias("value"), given.alias("expected"), mask.alias("root"), (through if c.other_unit is None else through | V.no(c.other_unit)).alias("other"))
+        structs.append(F.when(state != PASS, found))
     key = [F.col(b.group(b.key_col)).alias("__key_col")] if b.key_col else []
-    return df.select(ROW, key_text(spec, t).alias("__pk"), *b.groups, *key, F.explode(held).alias("c")).select(ROW, "__pk", *b.groups, *[k for k in ["__key_col"] if key], "c.*")
+    # the cells are a column before they are exploded: with so many columns Spark would interpret them within the
+    # explode; an outer one, or Spark would first filter by the whole expression of that column
+    listed = df.select(ROW, key_text(spec, t).alias("__pk"), *b.groups, *key, F.array(*structs).alias("__cells"))
+    return listed.withColumn("c", F.explode_outer("__cells")).drop("__cells").select(ROW, "__pk", *b.groups, *[k for k in ["__key_col"] if key], "c").filter("c is not null").select(ROW, "__pk", *b.groups, *[k for k in ["__key_col"] if key], "c.*")
 
 
 def record_run(ctx: Context, rule_set: RuleSet, run_id: str, run_scope: str, fingerprints: dict[str, str] | None = None) -> Outcome:
@@ -216,9 +233,8 @@ def record_run(ctx: Context, rule_set: RuleSet, run_id: str, run_scope: str, fin
         "n_checked", "n_fail", "n_not_evaluated", "n_unchecked", null.alias("reason_code"), F.col("n_distinct").alias("n_distinct_fail_values"), F.lit(None).cast("long").alias("n_easy_fix"), "examples", status.alias("status"), why.alias("not_run_reason"), F.col("rule_id").alias("message_id"),
     )
 
-    issues = _issues(ctx, checks, cells, counts, meta, least, run_id, run_scope)
     corrections = spark.createDataFrame([], CORRECTIONS)
-    return Outcome(results, issues, corrections, checks, not_expected)
+    return Outcome(results, lambda: _issues(ctx, checks, cells, counts, meta, least, run_id, run_scope), corrections, checks, not_expected)
 
 
 def _issues(ctx: Context, checks: list[Check], cells: DataFrame, counts: DataFrame, meta: DataFrame, least: int, run_id: str, run_scope: str) -> DataFrame:
@@ -279,17 +295,20 @@ def _issues(ctx: Context, checks: list[Check], cells: DataFrame, counts: DataFra
     else:
         positional = F.when(F.col("level") == "record", F.col("__pk").isNull())
 
-    # row numbers from 1 in delivered order, from the partitions' sizes
-    numbers = []
-    for name in {c.table for c in checks if c.kind == "record"}:
-        n = b.tables[name].base.groupBy(F.shiftright(ROW, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-        at = 0
-        for r in sorted(n, key=lambda r: r.p):
-            numbers.append((name, r.p, at))
-            at += r.n
-    offsets = spark.createDataFrame(numbers, "__n_table string, __n_part long, __n_first long")  # a row for each partition of the tables
-    rooted = rooted.join(F.broadcast(offsets), (F.col("table_name") == F.col("__n_table")) & (F.shiftright(ROW, 33) == F.col("__n_part")), "left")
-    number = F.col("__n_first") + F.col(ROW).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    # row numbers from 1 in delivered order, from the sizes of the tables' splits, whose rows are numbered without gaps
+    within = F.col(ROW).bitwiseAND(F.lit((1 << 33) - 1))
+    splits = None
+    for name in sorted({c.table for c in checks if c.kind == "record"}):
+        one = b.tables[name].base.groupBy(F.shiftright(ROW, 33).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(within).alias("least")).select(F.lit(name).alias("t"), "p", "n", "least")
+        splits = one if splits is None else splits.unionByName(one)
+    numbers, at = [], {}
+    for r in sorted(splits.collect() if splits is not None else [], key=lambda r: (r.t, r.p)):
+        numbers.append((r.t, r.p, at.get(r.t, 0) - r.least))
+        at[r.t] = at.get(r.t, 0) + r.n
+    offsets = spark.createDataFrame(numbers, "__n_table string, __n_part long, __n_first long")  # a row for each split of the tables
+    offsets = F.broadcast(offsets) if len(numbers) <= SPLITS else offsets
+    rooted = rooted.join(offsets, (F.col("table_name") == F.col("__n_table")) & (F.shiftright(ROW, 33) == F.col("__n_part")), "left")
+    number = F.col("__n_first") + within + 1
     groups = [F.col(x).alias(n) for x, n in zip(g, b.group_cols, strict=True)]
     more = [F.col("__key").alias(b.key_col)] if b.key_col and b.key_col not in b.group_cols else []
     none = F.lit(None).cast("string")

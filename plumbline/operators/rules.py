@@ -22,6 +22,8 @@ from plumbline.plans.model import Attribute, Edge, Spec
 from plumbline.plans.registry import BY_ID
 from plumbline.plans.settings import Resolved
 
+#: Sums of line hashes that tell multisets of lines apart before they are compared.
+SIGNATURE_SUMS = ("s1", "s2")
 
 
 @dataclass
@@ -113,14 +115,14 @@ def rogue_codes(ctx: Context, a: Attribute) -> list[str]:
     return [c for c in ctx.settings["rogue_codes"] if c not in listed]
 
 
-def missing_like(ctx: Context, a: Attribute, text: Column) -> Column:
-    """Values that Layer 2 reports, which Layer 1 leaves alone."""
+def missing_like(ctx: Context, a: Attribute, text: Column, blank: Column | None = None) -> Column:
+    """Values that Layer 2 reports, which Layer 1 leaves alone; blank is given where it is known."""
     spec = ctx.spec
     other = codes_of(spec, a, own=False) if codes_of(spec, a) else []
     codes = other + ([] if a.key else rogue_codes(ctx, a)) + ctx.unknown(a)
     if a.key or a.id_marked:
         codes = [*codes, "NA"]
-    found = V.no(V.is_blank(text))
+    found = V.no(V.is_blank(text)) if blank is None else blank
     return found | V.no(text.isin(codes)) if codes else found
 
 
@@ -132,7 +134,7 @@ def domain_skipped(ctx: Context, t: Table, a: Attribute, number: Column | None =
 def _skipped(ctx: Context, t: Table, a: Attribute, number: Column | None) -> Column:
     text = t.text(a, ctx.spec)
     codes = codes_of(ctx.spec, a) + ctx.unknown(a)
-    skipped = text.isNull() | V.no(V.is_blank(text))
+    skipped = text.isNull() | t.blank(a)
     if codes:
         skipped = skipped | V.no(text.isin(codes))
         numbers = [float(c) for c in codes if V._is_number(c)]
@@ -152,7 +154,7 @@ def _key_missing(ctx: Context, t: Table, a: Attribute, allowed: str) -> tuple[Co
     ok_codes = [s.value for s in own if getattr(s, allowed)]
     missing = F.col(a.name).isNull() | V.holds(F.col(a.name), kind, no_codes)
     if V.is_text(kind):
-        missing = missing | V.no(V.is_blank(text))
+        missing = missing | t.blank(a)
     if kind in V.FRACTION:
         missing = missing | V.no(F.isnan(a.name))
     opened = V.holds(F.col(a.name), kind, ok_codes)
@@ -244,7 +246,7 @@ def types(ctx: Context) -> list[Check]:
         if wanted == "character":
             return record("coercion_loss", a, F.lit(False), None, wanted)
         text = t.text(a, spec)
-        fail = t.number(a, wanted == "integer").lost & ~t.once(("missing", a.name), lambda: missing_like(ctx, a, text))
+        fail = t.number(a, wanted == "integer").lost & ~t.once(("missing", a.name), lambda: missing_like(ctx, a, text, t.blank(a)))
         if padding_checked(t, a):
             bare = V.trimmed(text)
             passes = ~V.read_number(bare, "string", wanted == "integer").lost | missing_like(ctx, a, bare)
@@ -293,7 +295,7 @@ def missing_codes(ctx: Context) -> list[Check]:
         return record("raw_na", a, F.col(a.name).isNull(), F.lit(None).cast("string"), joined(a))
 
     def blank(t, a):
-        fail = V.is_blank(F.col(a.name)) if V.is_text(t.types[a.name]) else F.lit(False)
+        fail = t.blank(a)
         return record("blank_string", a, fail, t.text(a, spec), joined(a))
 
     def wrong(t, a) -> tuple[Column, list[tuple[Column, str]]]:
@@ -479,13 +481,14 @@ def _code_sets(ctx: Context) -> list[Check]:
         mine = [a for a in mine if t is not None and t.has(a.name)]
         if not mine:
             continue
-        # columns of far more values than `most` are set aside by an estimate with a wide margin; the rest is exact
-        near = t.base.agg(F.count(F.lit(1)).alias("__n"), *[F.approx_count_distinct(a.name, 0.02).alias(a.name) for a in mine]).first()
-        few = [a for a in mine if near[a.name] <= 10 * most + 100]
+        kept = {a.name: F.when(~domain_skipped(ctx, t, a) & (~V.no(t.text(a, spec).isin(others)) if others else F.lit(True)), t.text(a, spec)) for a in mine}
+        # values of more than `most` different hash places are more than `most` values: a bitmap a column proves it
+        places = t.base.agg(*[F.bitmap_count(F.bitmap_construct_agg(F.when(v.isNotNull(), F.pmod(F.xxhash64(v), F.lit(1 << 15))))).alias(n) for n, v in kept.items()]).first()
+        few = [a for a in mine if (places[a.name] or 0) <= most]
         held: dict[str, list] = {a.name: [] for a in few}
         if few:
-            cells = F.explode(F.array(*[F.struct(F.lit(a.name).alias("c"), F.when(~domain_skipped(ctx, t, a) & (~V.no(t.text(a, spec).isin(others)) if others else F.lit(True)), t.text(a, spec)).alias("v")) for a in few])).alias("x")
-            # at most (10 x most + 100) values, a row for each unit that holds one
+            cells = F.explode(F.array(*[F.struct(F.lit(a.name).alias("c"), kept[a.name].alias("v")) for a in few])).alias("x")
+            # few values, a row for each unit that holds one
             counted = t.base.select(unit.alias("u"), cells).filter("x.v is not null").groupBy("x.c", "x.v", "u").agg(F.count(F.lit(1)).alias("n"))
             for r in counted.collect():
                 held[r.c].append(r)
@@ -744,24 +747,27 @@ def _designs(ctx: Context) -> list[Check]:
                     return not_run("design_duplicate_signature", a.table, a.name, "no_table")
                 if not child.has(by) or not all(child.has(c) for c in columns):
                     return not_run("design_duplicate_signature", a.table, a.name, "no_column")
-                # a multiset of lines stands as its count and the sums of two hashes of each line: one shuffle, no gathered rows
+                # a multiset of lines is first told apart by its count and the sums of two hashes of each line, without
+                # gathering rows; those that agree in that are then compared line by line
                 cells = F.to_json(F.array(*[F.coalesce(compared(ctx, child, spec.attribute(table, c)), F.lit("\u0000")) for c in columns]))
                 fk = spec.attribute(table, by)
                 lines = child.base.select(B.join_key(spec, child, fk, a).alias("__fk"), cells.alias("__line")).filter("__fk is not null")
                 sums = lines.groupBy("__fk").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("__line").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("__line", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
-                print_ = F.concat_ws(":", F.col("n").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"))
+                print_ = F.concat_ws(":", F.col("n").cast("string"), *[F.col(x).cast("string") for x in SIGNATURE_SUMS])
                 unit = F.col(b.groups[0]) if b.groups else F.lit("1")
                 holders = t.base.select(B.join_key(spec, t, a, fk).alias("__pk"), ROW, unit.alias("__u"), t.text(a, spec).alias("__id")).filter("__pk is not null").groupBy("__pk").agg(F.min(F.struct(ROW, "__u", "__id")).alias("h"))
-                signed = holders.join(sums.select(F.col("__fk").alias("__pk"), print_.alias("__print")), "__pk").select(F.col(f"h.{ROW}").alias("__owner"), F.col("h.__u").alias("__u"), F.col("h.__id").alias("__id"), "__print")
+                signed = holders.join(sums.select(F.col("__fk").alias("__pk"), print_.alias("__print")), "__pk").select("__pk", F.col(f"h.{ROW}").alias("__owner"), F.col("h.__u").alias("__u"), F.col("h.__id").alias("__id"), "__print")
                 signed = b.work.keep(signed)
                 from pyspark.sql import Window
 
-                shared = signed.filter("__u <> '*'").groupBy("__u", "__print").agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1")
-                twins = signed.join(shared, ["__u", "__print"])
-                ranked = twins.withColumn("__place", F.row_number().over(Window.partitionBy("__u", "__print").orderBy("__id", "__owner")))
-                heads = ranked.filter(F.col("__place") <= most + 1).groupBy("__u", "__print").agg(F.array_sort(F.collect_list(F.struct("__place", "__id"))).alias("__heads"))
-                others = F.slice(F.filter("__heads", lambda x: x["__place"] != F.col("__place")), 1, max(1, most))
-                listed = ranked.join(b.work.keep(heads), ["__u", "__print"]).select("__owner", rest(F.array_join(F.transform(others, lambda x: x["__id"]), "; "), F.col("__size") - 1).alias("__twins"))
+                alike = _equal_lines(b, signed.filter("__u <> '*'"), lines)
+                shared = alike.groupBy("__u", "__first").agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1")
+                twins = b.work.keep(alike.join(shared, ["__u", "__first"]))
+                # a group's first ones only are ranked: Spark cuts each task's rows to them before they are shuffled
+                place = F.row_number().over(Window.partitionBy("__u", "__first").orderBy("__id", "__owner"))
+                heads = twins.withColumn("__place", place).filter(F.col("__place") <= most + 1).groupBy("__u", "__first").agg(F.array_sort(F.collect_list(F.struct("__id", "__owner"))).alias("__heads"))
+                others = F.slice(F.filter("__heads", lambda x: x["__owner"] != F.col("__owner")), 1, max(1, most))
+                listed = twins.join(b.work.keep(heads), ["__u", "__first"]).select("__owner", rest(F.array_join(F.transform(others, lambda x: x["__id"]), "; "), F.col("__size") - 1).alias("__twins"))
                 t.df = t.df.join(listed, F.col(ROW) == F.col("__owner"), "left").drop("__owner")
                 t.df = t.df.join(signed.select(F.col("__owner"), F.lit(True).alias("__signed")), F.col(ROW) == F.col("__owner"), "left").drop("__owner")
                 star = V.no(F.col("__signed")) & (unit == "*")
@@ -771,4 +777,28 @@ def _designs(ctx: Context) -> list[Check]:
     return out
 
 
+def _equal_lines(b: Bound, signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """signed (__pk, __u, __print, ...) with __first: the least key, of those of its unit and print, that has the same lines.
+
+    Of each unit and print the least key stands for the others; a key whose
+    lines, with their numbers, are all its lines too has the same ones. Keys that
+    only share its print go round again among themselves.
+    """
+    shared = b.work.keep(signed.groupBy("__u", "__print").agg(F.count(F.lit(1)).alias("n"), F.min("__pk").alias("__first")).filter("n > 1").drop("n"))
+    left = b.work.keep(signed.join(shared, ["__u", "__print"]).select(*signed.columns))
+    counted = lines.join(left.select(F.col("__pk").alias("__fk")), "__fk", "left_semi").groupBy("__fk", "__line").agg(F.count(F.lit(1)).alias("__times"))
+    counted = b.work.keep(counted.withColumnRenamed("__fk", "__pk"))
+    kinds = b.work.keep(counted.groupBy("__pk").agg(F.count(F.lit(1)).alias("__kinds")))
+    found = None
+    while found is None or not left.isEmpty():
+        firsts = left.groupBy("__u", "__print").agg(F.min("__pk").alias("__first"))
+        model = firsts.join(counted.withColumnRenamed("__pk", "__first"), "__first").join(kinds.withColumnRenamed("__pk", "__first"), "__first")
+        same = left.select("__u", "__print", "__pk").join(counted, "__pk").join(b.work.keep(model), ["__u", "__print", "__line", "__times"]).groupBy("__pk", "__first").agg(F.count(F.lit(1)).alias("n"), F.first("__kinds").alias("theirs"))
+        same = same.join(kinds, "__pk").filter("n = theirs and n = __kinds").select("__pk", "__first")
+        done = b.work.keep(left.join(same, "__pk"))
+        found = done if found is None else found.unionByName(done)
+        left = b.work.keep(left.join(done.select("__pk"), "__pk", "left_anti"))
+    return found
+
+
 FAMILIES = (structure, types, missing_codes, domains, keys)

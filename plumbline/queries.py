@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.classify import classify
 from plumbline.operators.decode import decode
-from plumbline.operators.report import route
+from plumbline.operators.report import route, split_keys
 from plumbline.plans.model import Attribute, Spec, add_conditions, parse_lineage, sentinels, type_map
 from plumbline.run import Run, check_conformance
+from plumbline.sources.runs import Stored, bind_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +213,22 @@ def record_unreachable_upwards(spark, sf_dir):
     return r.issues.select("table_name", "value")
 
 
+@query("record_unreachable_loose", """
+    SELECT 'orders reached' AS walk, 0 AS n_checked, 0 AS n_fail, count(*) AS n_unchecked FROM customer
+    UNION ALL SELECT 'no order reached', count(*), count(*), 0 FROM customer""")
+def record_unreachable_loose(spark, sf_dir):
+    """Orders without their customer key: all customers might be reached, but only once an order is."""
+    out = None
+    for walk, planted in (("orders reached", None), ("no order reached", {"l_orderkey": "-1 - l_orderkey"})):
+        tables = load(spark, sf_dir, "lineitem", "orders", "customer", planted=planted)
+        tables["orders"] = tables["orders"].drop("o_custkey")
+        s = spec("lineitem", "orders", "customer", change={"l_partkey": {"key": None}, "l_suppkey": {"key": None}, "c_nationkey": {"key": None}}, reach=UP)
+        r = check_conformance(spark, s, tables, rules=["record_unreachable"])
+        one = r.results.filter("table_name = 'customer'").select(F.lit(walk).alias("walk"), "n_checked", "n_fail", "n_unchecked")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("src_id_duplicate_events", f"""
     SELECT {text('event_id')} AS record_pk, {text('user_id')} AS value FROM events JOIN (SELECT event_type, user_id FROM events GROUP BY ALL HAVING count(*) > 1) USING (event_type, user_id)""")
 def src_id_duplicate_events(spark, sf_dir):
@@ -535,6 +552,61 @@ def route_unit(spark, sf_dir):
     return route(r.results, r.issues, "F", ["F", "O", "P"], ["o_orderstatus"])[1].select("record_pk", "o_orderstatus")
 
 
+@query("first_holder_of_repeated_key", """
+    WITH n AS (SELECT n_nationkey % 5 AS k, n_name FROM nation QUALIFY row_number() OVER (PARTITION BY n_nationkey % 5 ORDER BY n_nationkey) = 1)
+    SELECT n_name, count(*) AS n_checked, 0 AS n_fail FROM customer JOIN n ON k = c_nationkey % 5 GROUP BY n_name""")
+def first_holder_of_repeated_key(spark, sf_dir):
+    """A parent key that several rows hold stands for the first of them."""
+    planted = {"n_nationkey": "CAST(n_nationkey % 5 AS INT)", "c_nationkey": "CAST(c_nationkey % 5 AS INT)"}
+    r = run(spark, sf_dir, ["raw_na"], "customer", "nation", planted=planted, change={"n_regionkey": {"key": None}}, group_cols=["n_name"])
+    return r.results.filter("column_name = 'c_name'").select("n_name", "n_checked", "n_fail")
+
+
+@query("reaches_other_unit_orders", f"""
+    WITH o AS (SELECT o_orderkey, {ORPHAN['o_custkey']} AS k FROM orders)
+    SELECT {text('o_orderkey')} AS record_pk, coalesce(c_mktsegment, '*') AS c_mktsegment, c_custkey IS NOT NULL AS reaches_other_unit FROM o LEFT JOIN customer ON c_custkey = k""")
+def reaches_other_unit_orders(spark, sf_dir):
+    """The segment is read in a customer, which has no report unit of its own; an orphan order reads none."""
+    change = {"c_nationkey": {"key": None}, "o_totalprice": {"max_value": 0.0}}
+    r = run(spark, sf_dir, ["value_above_max"], "orders", "customer", planted=ORPHAN, change=change, group_cols=["o_orderstatus", "c_mktsegment"], settings={"column_level_min_n": 1_000_000_000})
+    return r.issues.filter("table_name = 'orders'").select("record_pk", "c_mktsegment", "reaches_other_unit")
+
+
+@query("decode_flags", f"""
+    SELECT {text('o_orderkey')} AS record_pk, CASE WHEN o_orderstatus NOT IN ('F') THEN o_orderpriority WHEN o_orderkey % 3 = 0 THEN 'rush.number=' || o_orderpriority ELSE 'src.number=' || o_orderpriority END AS provider_key,
+    CASE WHEN o_orderstatus = 'F' THEN 'decoded' ELSE 'no_lineage_spec' END AS provider_key_status FROM orders""")
+def decode_flags(spark, sf_dir):
+    """A part's name that depends on the caller's flags."""
+    change = {"o_custkey": {"key": None}, "o_orderpriority": {"id_marked": True, "lineage": True}, "o_totalprice": {"max_value": 0.0}}
+    r = run(spark, sf_dir, ["value_above_max"], "orders", change=change, lineage=_entry("F", "orders", "o_orderpriority", "src.number", 1, "rush.number", 'flag.rush == "yes"'), group_cols=["o_orderstatus"], settings={"column_level_min_n": 1_000_000_000})
+    flags = load(spark, sf_dir, "orders")["orders"].filter("o_orderkey % 3 < 2").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "yes").otherwise("no").alias("rush"))
+    return decode(r.bound, r.issues, {"orders": flags}).select("record_pk", "provider_key", "provider_key_status")
+
+
+@query("split_provider_keys", """
+    SELECT n_name, CASE WHEN n_nationkey % 4 = 3 THEN NULL ELSE CAST(n_nationkey AS VARCHAR) END AS key_site, CASE WHEN n_nationkey % 4 IN (0, 1) THEN n_name END AS key_tree FROM nation""")
+def split_provider_keys(spark, sf_dir):
+    """Parts in either order, a part alone, and a label that comes twice."""
+    site, tree = F.concat(F.lit("site="), F.col("n_nationkey").cast("string")), F.concat(F.lit("tree="), F.col("n_name"))
+    k = F.col("n_nationkey") % 4
+    key = F.when(k == 0, F.concat_ws("; ", site, tree)).when(k == 1, F.concat_ws("; ", tree, site)).when(k == 2, site).otherwise(F.concat_ws("; ", site, site))
+    keyed = load(spark, sf_dir, "nation")["nation"].select("n_name", key.alias("provider_key"), F.lit("decoded").alias("provider_key_status"))
+    return split_keys(keyed).select("n_name", "key_site", "key_tree")
+
+
+@query("bind_two_runs", """
+    SELECT row_number() OVER (ORDER BY run, c_custkey) AS issue_id, run, CAST(c_custkey AS VARCHAR) AS record_pk FROM (
+    SELECT 1 AS run, c_custkey FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 2, c_custkey FROM customer WHERE c_acctbal > 9000)""")
+def bind_two_runs(spark, sf_dir):
+    """Issue numbers of the second run follow those of the first."""
+    stored = []
+    for rule, change in (("value_below_min", {"min_value": 0.0}), ("value_above_max", {"max_value": 9000.0})):
+        r = run(spark, sf_dir, [rule], "customer", change={"c_nationkey": {"key": None}, "c_acctbal": change}, settings={"column_level_min_n": 1_000_000_000})
+        stored.append(Stored(r.results, r.issues, r.outcome.corrections, r.metadata))
+    both = bind_results(*stored).issues
+    return both.select("issue_id", F.when(F.col("rule_id") == "value_below_min", 1).otherwise(2).alias("run"), "record_pk")
+
+
 @query("issue_numbers", f"""
     SELECT {text('c_custkey')} AS record_pk, row_number() OVER (ORDER BY ord, c_custkey) AS issue_id, c_custkey AS row_number FROM (
     SELECT c_custkey, 1 AS ord FROM {_C} WHERE s IS NULL UNION ALL SELECT c_custkey, 2 FROM {_C} WHERE trim(s) = '')""")

@@ -3,45 +3,38 @@
 import pytest
 
 from plumbline.run import check_conformance
-from tests.core.fish import fish_spec, frames, rows
-
-
-def edit(data, table, key, column, value):
-    names = {"stations": 5, "hauls": 5, "catches": 5}
-    assert names
-    order = {"stations": ["station_id", "station_name", "water_body", "depth", "first_visit"], "hauls": ["haul_id", "station_id", "gear", "minutes", "src_haul_id"], "catches": ["catch_id", "haul_id", "species", "fish_count", "weight"]}[table]
-    at = order.index(column)
-    data[table] = [tuple(value if (k == at and r[0] == key) else v for k, v in enumerate(r)) for r in data[table]]
+from tests.core.mill import VALLEYS, edit, frames, mill_spec, rows
 
 
 SHEET = [
-    ("hauls", "H3", "station_id", "S99", "fk_orphan", "S99", {"parent_without_children"}),
-    ("hauls", "H3", "station_id", None, "fk_unassigned", None, set()),
-    ("hauls", "H3", "station_id", "?", "fk_unassigned", "?", set()),
-    ("hauls", "H3", "gear", "XX", "code_not_in_list", "XX", set()),
-    ("hauls", "H3", "gear", " GN", "whitespace_padding", " GN", set()),
-    ("hauls", "H3", "gear", "", "blank_string", "", set()),
-    ("hauls", "H3", "gear", None, "raw_na", None, set()),
-    ("hauls", "H3", "gear", "-99", "sentinel_wrong_type", "-99", set()),
-    ("hauls", "H3", "gear", "UNK", "sentinel_rogue_code", "UNK", set()),
-    ("hauls", "H3", "minutes", 601, "value_above_max", "601", set()),
-    ("hauls", "H3", "minutes", 0, "value_below_min", "0", set()),
-    ("catches", "C5", "weight", 0.0, "value_below_min", "0", set()),
-    ("catches", "C5", "weight", 1.23456, "decimals_exceeded", "1.23456", set()),
-    ("catches", "C5", "weight", float("inf"), "value_not_finite", "Inf", set()),
-    ("catches", "C5", "weight", -999.0, "sentinel_rogue_code", "-999", set()),
-    ("stations", "S2", "station_name", "Lake/2", "pattern_mismatch", "Lake/2", set()),
-    ("stations", "S2", "station_name", "x" * 41, "string_too_long", "x" * 41, set()),
-    ("stations", "S2", "first_visit", "2020-02-30", "date_unparseable", "2020-02-30", set()),
-    ("hauls", "H3", "src_haul_id", "NA", "na_text_in_id", "NA", set()),
-    ("hauls", "H3", "src_haul_id", "9_x", "src_id_duplicate", "9_x", set()),
-    ("catches", "C5", "catch_id", "C6", "pk_duplicate", "C6", set()),
-    ("catches", "C5", "catch_id", None, "pk_missing", None, set()),
+    ("grinds", "G3", "mill_no", "M55", "fk_orphan", "M55", set()),
+    ("grinds", "G3", "mill_no", None, "fk_unassigned", None, set()),
+    ("grinds", "G3", "mill_no", "#", "fk_unassigned", "#", set()),
+    ("grinds", "G3", "grain", "MAIZE", "code_not_in_list", "MAIZE", set()),
+    ("grinds", "G3", "grain", "RYE ", "whitespace_padding", "RYE ", set()),
+    ("grinds", "G3", "grain", "", "blank_string", "", set()),
+    ("grinds", "G3", "grain", None, "raw_na", None, set()),
+    ("grinds", "G3", "grain", "-77", "sentinel_wrong_type", "-77", set()),
+    ("grinds", "G3", "grain", "UNK", "sentinel_rogue_code", "UNK", set()),
+    ("grinds", "G3", "turns", 901, "value_above_max", "901", set()),
+    ("grinds", "G3", "turns", 4, "value_below_min", "4", set()),
+    ("sacks", "K5", "mass", 2.0, "value_below_min", "2", set()),
+    ("sacks", "K5", "mass", 31.415, "decimals_exceeded", "31.415", set()),
+    ("sacks", "K5", "mass", float("inf"), "value_not_finite", "Inf", set()),
+    ("sacks", "K5", "mass", -999.0, "sentinel_rogue_code", "-999", set()),
+    ("mills", "M2", "title", "mill no 2", "pattern_mismatch", "mill no 2", set()),
+    ("mills", "M2", "title", "M" + "i" * 30, "string_too_long", "M" + "i" * 30, set()),
+    ("mills", "M2", "built", "31.04.1901", "date_unparseable", "31.04.1901", set()),
+    ("mills", "M4", "wheel", 12.5, "value_above_max", "12.5", set()),
+    ("grinds", "G3", "old_grind_ref", "NA", "na_text_in_id", "NA", set()),
+    ("grinds", "G3", "old_grind_ref", "12-w", "src_id_duplicate", "12-w", set()),
+    ("sacks", "K5", "sack_no", "K6", "pk_duplicate", "K6", set()),
+    ("sacks", "K5", "sack_no", None, "pk_missing", None, set()),
 ]
 
 
 def findings(spark, data, folder, **more):
-    run = check_conformance(spark, fish_spec(), frames(spark, data, folder), group_cols=["water_body"], **more)
+    run = check_conformance(spark, mill_spec(), frames(spark, data, folder), group_cols=["valley"], **more)
     return run, run.issues.filter("status = 'open'").collect()
 
 
@@ -54,7 +47,7 @@ def test_clean(spark, tmp_path):
     from plumbline.operators.record import adds_up
 
     assert adds_up(run.results, total).collect() == []
-    assert {r.water_body for r in results if r.table_name == "catches" and r.rule_id == "raw_na"} == {"LK", "RV", "RS"}
+    assert {r.valley for r in results if r.table_name == "sacks" and r.rule_id == "raw_na"} == set(VALLEYS)
     from plumbline.sources.runs import problems
 
     assert problems(run.results, run.issues) == []
@@ -81,35 +74,35 @@ def test_planted(spark, tmp_path, defects):
 
 def test_masks_and_collapse(spark, tmp_path):
     data = rows(60)
-    data["catches"] = [(a, b, "  " if k % 3 == 0 else c, d, e) for k, (a, b, c, d, e) in enumerate(data["catches"])]
+    data["sacks"] = [(*r[:3], "  " if k % 3 == 0 else r[3]) for k, r in enumerate(data["sacks"])]
     run, found = findings(spark, data, tmp_path, settings={"column_level_min_n": 5}, layers=(2, 3))
     whole = [i for i in found if i.level == "column"]
-    assert {(i.rule_id, i.water_body, i.n_records) for i in whole} == {("blank_string", "LK", 20)}
+    assert {(i.rule_id, i.valley, i.n_records) for i in whole} == {("blank_string", "EAST", 20)}
     masked = [i for i in run.issues.collect() if i.status == "not_evaluated" and i.rule_id == "code_not_in_list"]
     assert [(i.level, i.n_records, i.root_issue_id) for i in masked] == [("column", 20, whole[0].issue_id)]
     ids = [i.issue_id for i in run.issues.collect()]
     assert sorted(ids) == list(range(1, len(ids) + 1))
-    row = next(r for r in run.results.collect() if r.rule_id == "code_not_in_list" and r.table_name == "catches" and r.water_body == "LK")
+    row = next(r for r in run.results.collect() if r.rule_id == "code_not_in_list" and r.table_name == "sacks" and r.valley == "EAST")
     assert (row.status, row.not_run_reason, row.n_not_evaluated) == ("not_run", "none_checked", 20)
 
 
 def test_structure_and_empty_tables(spark, tmp_path):
-    tables = frames(spark, {**rows(), "catches": []}, tmp_path)
-    tables["hauls"] = tables["hauls"].withColumnRenamed("gear", " Gear").drop("minutes")
-    tables["odd"] = tables["stations"]
-    del tables["stations"]
-    run = check_conformance(spark, fish_spec(), tables)
+    tables = frames(spark, {**rows(), "sacks": []}, tmp_path)
+    tables["grinds"] = tables["grinds"].withColumnRenamed("grain", " Grain").drop("turns")
+    tables["odd"] = tables["mills"]
+    del tables["mills"]
+    run = check_conformance(spark, mill_spec(), tables)
     got = {(i.rule_id, i.table_name, i.column_name) for i in run.issues.filter("layer = 0").collect()}
-    assert got == {("table_missing", "stations", "*"), ("table_unexpected", "odd", "*"), ("column_missing", "hauls", "minutes"), ("column_name_mismatch", "hauls", "gear")}
+    assert got == {("table_missing", "mills", "*"), ("table_unexpected", "odd", "*"), ("column_missing", "grinds", "turns"), ("column_name_mismatch", "grinds", "grain")}
     why = {(r.rule_id, r.table_name, r.column_name): r.not_run_reason for r in run.results.collect()}
-    assert why["raw_na", "catches", "species"] == "no_records" and why["fk_orphan", "hauls", "station_id"] == "no_table" and why["value_above_max", "hauls", "minutes"] == "no_column"
+    assert why["raw_na", "sacks", "grade"] == "no_records" and why["fk_orphan", "grinds", "mill_no"] == "no_table" and why["value_above_max", "grinds", "turns"] == "no_column"
 
 
 def test_refuses(spark):
     nested = spark.createDataFrame([(1, [1])], "a int, b array<int>")
     with pytest.raises(ValueError, match="more than one value"):
-        check_conformance(spark, fish_spec(), {"stations": nested})
+        check_conformance(spark, mill_spec(), {"mills": nested})
     with pytest.raises(ValueError, match="no attribute"):
-        check_conformance(spark, fish_spec(), {}, group_cols=["nope"])
+        check_conformance(spark, mill_spec(), {}, group_cols=["nope"])
     with pytest.raises(ValueError, match="unknown setting"):
-        check_conformance(spark, fish_spec(), {}, settings={"nope": 1})
+        check_conformance(spark, mill_spec(), {}, settings={"nope": 1})

@@ -8,11 +8,11 @@ from plumbline.plans.model import Attribute, Condition, Finding, Spec, add_condi
 from plumbline.plans.registry import PREFLIGHT, RULES
 from plumbline.plans.settings import RuleSet, resolve, rule_row_value, severity_of, enabled
 from plumbline.sources import spec_files
-from tests.core.fish import COLUMNS, DICTIONARY, LINEAGE, fish_spec
+from tests.core.mill import COLUMNS, DICTIONARY, LINEAGE, mill_spec
 
 
 def outcome(spec=None, settings=None, rule_set=None, **more):
-    spec, rule_set = spec or fish_spec(), rule_set or RuleSet()
+    spec, rule_set = spec or mill_spec(), rule_set or RuleSet()
     rows = P.preflight_rows(P.Inputs(spec, resolve(settings, rule_set, more.pop("options", None)), rule_set, **more))
     return {r["check"] for r in rows if r["outcome"] in ("stop", "warn")}
 
@@ -26,41 +26,41 @@ def test_clean_spec():
 
 
 def change(field, **values):
-    s = fish_spec()
+    s = mill_spec()
     return dataclasses.replace(s, attributes=tuple(dataclasses.replace(a, **values) if a.name == field else a for a in s.attributes))
 
 
 def extra(**values):
-    return dataclasses.replace(fish_spec(), **values)
+    return dataclasses.replace(mill_spec(), **values)
 
 
 @pytest.mark.parametrize(
     "check,make",
     [
-        ("dd_duplicate_attribute", lambda: extra(attributes=fish_spec().attributes + fish_spec().attributes[:1])),
-        ("dd_name_missing", lambda: change("gear", name=" ")),
-        ("dd_type_unknown", lambda: change("gear", data_type="odd")),
-        ("dd_pk_missing", lambda: change("catch_id", key=None)),
-        ("dd_fk_target_missing", lambda: change("station_id", reference="nowhere")),
-        ("code_list_missing", lambda: change("gear", lookup="nowhere")),
-        ("code_column_missing", lambda: extra(code_lists=fish_spec().code_lists | {"gear": [{"other": "x"}]})),
-        ("code_list_duplicate_code", lambda: extra(code_lists=fish_spec().code_lists | {"gear": [{"gear": "GN"}, {"gear": "GN"}]})),
-        ("code_list_blank_row", lambda: extra(code_lists=fish_spec().code_lists | {"gear": [{"gear": "GN"}, {"gear": None}]})),
-        ("code_list_unreferenced", lambda: extra(code_lists=fish_spec().code_lists | {"more": [{"a": "b"}]})),
-        ("code_list_empty_column", lambda: extra(code_lists=fish_spec().code_lists | {"gear": [{"gear": "GN", "b": None}]})),
+        ("dd_duplicate_attribute", lambda: extra(attributes=mill_spec().attributes + mill_spec().attributes[:1])),
+        ("dd_name_missing", lambda: change("grain", name=" ")),
+        ("dd_type_unknown", lambda: change("grain", data_type="odd")),
+        ("dd_pk_missing", lambda: change("sack_no", key=None)),
+        ("dd_fk_target_missing", lambda: change("mill_no", reference="nowhere")),
+        ("code_list_missing", lambda: change("grain", lookup="nowhere")),
+        ("code_column_missing", lambda: extra(code_lists=mill_spec().code_lists | {"grain": [{"other": "x"}]})),
+        ("code_list_duplicate_code", lambda: extra(code_lists=mill_spec().code_lists | {"grain": [{"grain": "RYE"}, {"grain": "RYE"}]})),
+        ("code_list_blank_row", lambda: extra(code_lists=mill_spec().code_lists | {"grain": [{"grain": "RYE"}, {"grain": None}]})),
+        ("code_list_unreferenced", lambda: extra(code_lists=mill_spec().code_lists | {"more": [{"a": "b"}]})),
+        ("code_list_empty_column", lambda: extra(code_lists=mill_spec().code_lists | {"grain": [{"grain": "RYE", "b": None}]})),
         ("spec_clash_resolved", lambda: extra(clashes=({"sheet": "s", "key": "k", "attribute_name": "a", "dictionary": "1", "other": "2", "winner": "sheet"},))),
         ("spec_clash_unresolved", lambda: extra(clashes=({"sheet": "s", "key": "k", "attribute_name": "a", "dictionary": "1", "other": "2", "winner": None},))),
         ("site_id_range_invalid", lambda: extra(id_bands=({"key_value": "a", "band_start": 1, "band_end": 5}, {"key_value": "b", "band_start": 5, "band_end": 9}))),
-        ("lineage_spec_unparseable", lambda: extra(lineage=tuple(parse_lineage("A", "hauls", "src_haul_id", "a ++ b")))),
-        ("lineage_when_invalid", lambda: extra(lineage=tuple(dataclasses.replace(e, when="depth > 3") for e in parse_lineage("A", "hauls", "src_haul_id", "n.a")))),
-        ("lineage_name_unknown", lambda: extra(lineage=tuple(parse_lineage("A", "hauls", "src_haul_id", "nothing")))),
-        ("lineage_spec_row_unflagged", lambda: extra(lineage=tuple(parse_lineage("A", "hauls", "gear", "n.a")))),
-        ("lineage_id_unflagged", lambda: extra(attributes=(*fish_spec().attributes, Attribute("hauls", "src_x_id", "text", id_marked=True)))),
-        ("dd_format_invalid", lambda: change("station_name", pattern="[[:nope:]]")),
-        ("key_pair_invalid", lambda: extra(key_pairs=({"table_name": "hauls", "left": "station_id > nope", "right": "gear"},))),
-        ("reach_invalid", lambda: extra(reach=({"table_name": "hauls", "attribute_name": "station_id", "how": "from_parent"},))),
-        ("one_to_many_invalid", lambda: extra(one_to_many=({"contributor_label": "Z", "table_name": "hauls", "attribute_name": "gear"},))),
-        *[(c, lambda c=c: fish_spec().with_findings(Finding(c, "here", "what"))) for c in ("dd_type_column_ambiguous", "datasets_row_missing", "spec_encoding_invalid", "spec_csv_malformed", "crosswalk_unreadable")],
+        ("lineage_spec_unparseable", lambda: extra(lineage=tuple(parse_lineage("A", "grinds", "old_grind_ref", "a ++ b")))),
+        ("lineage_when_invalid", lambda: extra(lineage=tuple(dataclasses.replace(e, when="wheel > 3") for e in parse_lineage("A", "grinds", "old_grind_ref", "n.a")))),
+        ("lineage_name_unknown", lambda: extra(lineage=tuple(parse_lineage("A", "grinds", "old_grind_ref", "nothing")))),
+        ("lineage_spec_row_unflagged", lambda: extra(lineage=tuple(parse_lineage("A", "grinds", "grain", "n.a")))),
+        ("lineage_id_unflagged", lambda: extra(attributes=(*mill_spec().attributes, Attribute("grinds", "src_x_id", "text", id_marked=True)))),
+        ("dd_format_invalid", lambda: change("title", pattern="[[:nope:]]")),
+        ("key_pair_invalid", lambda: extra(key_pairs=({"table_name": "grinds", "left": "mill_no > nope", "right": "grain"},))),
+        ("reach_invalid", lambda: extra(reach=({"table_name": "grinds", "attribute_name": "mill_no", "how": "from_parent"},))),
+        ("one_to_many_invalid", lambda: extra(one_to_many=({"contributor_label": "Z", "table_name": "grinds", "attribute_name": "grain"},))),
+        *[(c, lambda c=c: mill_spec().with_findings(Finding(c, "here", "what"))) for c in ("dd_type_column_ambiguous", "datasets_row_missing", "spec_encoding_invalid", "spec_csv_malformed", "crosswalk_unreadable")],
     ],
 )
 def test_spec_defects(check, make):
@@ -90,25 +90,25 @@ def test_configuration_defects(check, more):
 
 def test_stop():
     with pytest.raises(P.PreflightError) as e:
-        P.run_preflight(change("gear", data_type="odd"), resolve(), RuleSet())
+        P.run_preflight(change("grain", data_type="odd"), resolve(), RuleSet())
     assert any(r["check"] == "dd_type_unknown" for r in e.value.table)
 
 
 def test_settings_tiers():
-    rules = RuleSet(({"rule_id": "raw_na", "severity": "warning", "table_name": "hauls"}, {"rule_id": "raw_na", "attribute_name": "gear", "enabled": "false"}), {"example_cap": 3})
+    rules = RuleSet(({"rule_id": "raw_na", "severity": "warning", "table_name": "grinds"}, {"rule_id": "raw_na", "attribute_name": "grain", "enabled": "false"}), {"example_cap": 3})
     assert resolve({"example_cap": 2}, rules)["example_cap"] == 2 and resolve(None, rules, {"example_cap": "9"})["example_cap"] == 3 and resolve(None, None, {"example_cap": "9"})["example_cap"] == 9
     from plumbline.plans.registry import BY_ID
 
     r = resolve(None, rules)
-    assert severity_of(BY_ID["raw_na"], "hauls", "gear", r, rules) == "warning" and severity_of(BY_ID["raw_na"], "catches", "gear", r, rules) == "error"
-    assert not enabled(BY_ID["raw_na"], "catches", "gear", rules) and enabled(BY_ID["raw_na"], "hauls", "x", rules)
-    assert rule_row_value(rules, "raw_na", "hauls", "gear", "severity") == "warning"
+    assert severity_of(BY_ID["raw_na"], "grinds", "grain", r, rules) == "warning" and severity_of(BY_ID["raw_na"], "sacks", "grain", r, rules) == "error"
+    assert not enabled(BY_ID["raw_na"], "sacks", "grain", rules) and enabled(BY_ID["raw_na"], "grinds", "x", rules)
+    assert rule_row_value(rules, "raw_na", "grinds", "grain", "severity") == "warning"
     with pytest.raises(ValueError):
         resolve({"example_cap": -1})
 
 
 def test_conditions():
-    assert parse_condition('species == "WAE"') == Condition("==", "species", ("WAE",))
+    assert parse_condition('grade == "A1"') == Condition("==", "grade", ("A1",))
     assert parse_condition("a > b != '3'") == Condition("!=", "a > b", ("3",))
     assert parse_condition('x %in% c("a", "b")') == Condition("%in%", "x", ("a", "b"))
     assert parse_condition("is_present(flag.kind)") == Condition("is_present", "flag.kind")
@@ -134,7 +134,7 @@ def test_clashes():
 
 
 def test_compiled_round_trip(tmp_path):
-    s = fish_spec(lineage=LINEAGE, lineage_separators={"LK": "_"})
+    s = mill_spec(lineage=LINEAGE, lineage_separators={"EAST": "_"})
     spec_files.write_compiled(s, str(tmp_path))
     assert spec_files.read_compiled(str(tmp_path)) == s
 
@@ -149,16 +149,16 @@ def test_dictionary_file(tmp_path):
 
 
 def test_rule_set_folder(tmp_path):
-    (tmp_path / "rules_rules.csv").write_text("rule_id,table_name,attribute_name,severity,class,enabled\nraw_na,*,gear,warning,,\n")
+    (tmp_path / "rules_rules.csv").write_text("rule_id,table_name,attribute_name,severity,class,enabled\nraw_na,*,grain,warning,,\n")
     (tmp_path / "rules_settings.csv").write_text("setting,value,type\nexample_cap,3,integer\n")
     r = spec_files.read_rule_set(str(tmp_path))
     assert r.rules[0]["severity"] == "warning" and r.settings == {"example_cap": 3}
 
 
 def test_routes():
-    s = fish_spec()
-    assert [[e.attribute for e in r] for r in s.routes("catches", "water_body")] == [["haul_id", "station_id"]]
-    assert s.chain("catches", "haul_id > station_id > depth")[1:] == ("stations", "depth") and s.chain("catches", "nope > depth") is None
+    s = mill_spec()
+    assert [[e.attribute for e in r] for r in s.routes("sacks", "valley")] == [["grind_no", "mill_no"]]
+    assert s.chain("sacks", "grind_no > mill_no > wheel")[1:] == ("mills", "wheel") and s.chain("sacks", "nope > wheel") is None
     assert isinstance(s, Spec)
 
 
@@ -192,5 +192,5 @@ def test_nested_ids_that_do_not_expand():
 
 
 def test_lineage_tokens_are_the_missing_value_codes():
-    codes = sentinels([("character", "missing", "?", False, False), ("character", "not_applicable", "~", False, True), ("numeric", "missing", "-99", False, False)])
+    codes = sentinels([("character", "missing", "?", False, False), ("character", "not_applicable", "~", False, True), ("numeric", "missing", "-77", False, False)])
     assert lineage_tokens(codes) == {"?": "no_id", "~": "not_applicable"}

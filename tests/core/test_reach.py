@@ -1,12 +1,12 @@
 from plumbline.run import check_conformance
 from plumbline.sources.spec_files import read_spec
-from tests.core.fish import COLUMNS, FIELDS, TYPES
+from tests.core.mill import COLUMNS, TYPES, item
 
 
 def test_walk_of_a_self_reference(spark, tmp_path):
     """A chain of 9 levels over two tables and two links; a loop that no root leads to stays unreached."""
     keys = (("plots", "plot_id", "PK", None), ("trees", "tree_id", "PK", None), ("trees", "plot_id", "FK", "plots"), ("trees", "parent_tree", "FK", "trees"))
-    dictionary = [dict.fromkeys(FIELDS) | {"table": t, "field": f, "kind": "text", "key": k, "parent": p} for t, f, k, p in keys]
+    dictionary = [item(t, f, "words", role=k, points_to=p) for t, f, k, p in keys]
     reach = [{"table_name": t, "attribute_name": a, "how": h} for t, a, h in (("plots", None, "root"), ("trees", "plot_id", "from_parent"), ("trees", "parent_tree", "from_child"))]
     trees = [(f"T{k}", None if k < 8 else "P", f"T{k - 1}" if k else None) for k in range(9)] + [("A", None, "B"), ("B", None, "A")]
     data = {"plots": ([("P",)], "plot_id string"), "trees": (trees, "tree_id string, plot_id string, parent_tree string")}

@@ -9,49 +9,48 @@ from plumbline.plans.preflight import PreflightError
 from plumbline.run import check_conformance, new_run_id, run_qc
 from plumbline.sources.runs import bind_results, read_run
 from plumbline.sources.tables import read_csv, read_tables
-from tests.core.fish import LINEAGE, fish_spec, frames, rows
-from tests.core.test_answer_sheet import edit
+from tests.core.mill import LINEAGE, edit, frames, mill_spec, rows
 
 
 def dirty():
     data = rows()
-    edit(data, "hauls", "H3", "gear", "XX")
-    edit(data, "hauls", "H4", "gear", "=1+1")
-    edit(data, "hauls", "H0", "gear", "YY")
-    edit(data, "hauls", "H6", "src_haul_id", "6_?")
-    edit(data, "hauls", "H6", "gear", "ZZ")
+    edit(data, "grinds", "G3", "grain", "XX")
+    edit(data, "grinds", "G4", "grain", "=1+1")
+    edit(data, "grinds", "G0", "grain", "YY")
+    edit(data, "grinds", "G6", "old_grind_ref", "6-#")
+    edit(data, "grinds", "G6", "grain", "ZZ")
     return data
 
 
 def test_whole_run(spark, tmp_path):
-    spec = fish_spec(lineage=LINEAGE, lineage_separators={"LK": "_"}, contributors={"LK": "LK", "RV": "RV", "RS": "RS"})
+    spec = mill_spec(lineage=LINEAGE, lineage_separators={"EAST": "-"}, contributors={"EAST": "EAST", "NORTH": "NORTH", "WEST": "WEST"})
     import dataclasses
 
     spec = dataclasses.replace(spec, lineage=spec.lineage, findings=())
     tables = frames(spark, dirty(), tmp_path / "in")
-    overrides = [{"fingerprint": None, "rule_id": "code_not_in_list", "table_name": None, "column_name": "gear", "issue_class": "source", "who": "a", "when": "b", "why": "c", "water_body": "LK"}]
+    overrides = [{"fingerprint": None, "rule_id": "code_not_in_list", "table_name": None, "column_name": "grain", "issue_class": "source", "who": "a", "when": "b", "why": "c", "valley": "EAST"}]
     from plumbline.plans.model import parse_lineage
 
-    spec = dataclasses.replace(spec, lineage=(*spec.lineage, *parse_lineage("RS", "hauls", "src_haul_id", "Z")))
-    run, root, pages = run_qc(spark, spec, tables, str(tmp_path / "out"), group_cols=["water_body"], overrides=overrides, settings={"fallback_class": {"code_not_in_list": "harmonization"}})
+    spec = dataclasses.replace(spec, lineage=(*spec.lineage, *parse_lineage("WEST", "grinds", "old_grind_ref", "Z")))
+    run, root, pages = run_qc(spark, spec, tables, str(tmp_path / "out"), group_cols=["valley"], overrides=overrides, settings={"fallback_class": {"code_not_in_list": "harmonization"}})
     got = {i.record_pk: i for i in run.issues.collect()}
-    assert (got["H3"].provider_key, got["H3"].provider_key_status, got["H3"].issue_class) == ("net.number=3; net.side=x", "decoded", "source")
-    assert got["H6"].provider_key_status == "partial" and got["H4"].provider_key_status == "fallback_pk"
-    assert (got["H4"].issue_class, got["H4"].class_basis) == ("harmonization", "fallback")
+    assert (got["G3"].provider_key, got["G3"].provider_key_status, got["G3"].issue_class) == ("book.page=3; book.line=w", "decoded", "source")
+    assert got["G6"].provider_key_status == "partial" and got["G4"].provider_key_status == "fallback_pk"
+    assert (got["G4"].issue_class, got["G4"].class_basis) == ("harmonization", "fallback")
     assert verify_positions(run.bound, run.issues).isEmpty()
     stored = read_run(spark, root)
     assert sorted(map(str, stored.issues.collect())) == sorted(map(str, run.issues.collect())) and stored.results.schema == run.results.schema or set(stored.results.columns) == set(run.results.columns)
     both = bind_results(stored, stored)
     assert both.issues.select("issue_id").distinct().count() == 2 * len(got)
-    assert set(pages) == {"LK", "RV", "RS"}
-    with open(pages["LK"]["csv"], encoding="utf-8-sig") as f:
+    assert set(pages) == {"EAST", "NORTH", "WEST"}
+    with open(pages["EAST"]["csv"], encoding="utf-8-sig") as f:
         text = f.read()
-    assert "H3" in text and "H4" not in text and "key_net.number" in text  # a unit never sees another's records
-    with open(pages["RV"]["csv"], encoding="utf-8-sig") as f:
+    assert "G3" in text and "G4" not in text and "key_book.page" in text  # a unit never sees another's records
+    with open(pages["NORTH"]["csv"], encoding="utf-8-sig") as f:
         assert "'=1+1" in f.read()
-    with open(pages["RV"]["html"], encoding="utf-8") as f:
+    with open(pages["NORTH"]["html"], encoding="utf-8") as f:
         page = f.read()
-    assert "H3" not in page and "H4" in page and len(page) < 10_000_000
+    assert "G3" not in page and "G4" in page and len(page) < 10_000_000
     with pytest.raises(FileExistsError):
         from plumbline.sources.runs import write_run
 
@@ -61,8 +60,8 @@ def test_whole_run(spark, tmp_path):
 def test_stopped_run_leaves_its_findings(spark, tmp_path):
     import dataclasses
 
-    spec = fish_spec()
-    bad = dataclasses.replace(spec, attributes=tuple(dataclasses.replace(a, data_type="odd") if a.name == "gear" else a for a in spec.attributes))
+    spec = mill_spec()
+    bad = dataclasses.replace(spec, attributes=tuple(dataclasses.replace(a, data_type="odd") if a.name == "grain" else a for a in spec.attributes))
     with pytest.raises(PreflightError):
         run_qc(spark, bad, "/nowhere", str(tmp_path))
     assert os.listdir(tmp_path / os.listdir(tmp_path)[0] / "metadata")
@@ -70,13 +69,13 @@ def test_stopped_run_leaves_its_findings(spark, tmp_path):
 
 def test_routing_keeps_units_apart(spark, tmp_path):
     tables = frames(spark, dirty(), tmp_path)
-    run = check_conformance(spark, fish_spec(), tables, group_cols=["water_body"])
-    units = ["LK", "RV", "RS"]
+    run = check_conformance(spark, mill_spec(), tables, group_cols=["valley"])
+    units = ["EAST", "NORTH", "WEST"]
     total = run.issues.filter("level = 'record'").count()
-    parts = [route(run.results, run.issues, u, units, ["water_body"]) for u in units]
+    parts = [route(run.results, run.issues, u, units, ["valley"]) for u in units]
     assert sum(p[1].filter("level = 'record'").count() for p in parts) == total
     for u, (results, issues, _) in zip(units, parts, strict=True):
-        assert issues.filter((F.col("water_body") != u) & (F.col("level") == "record")).isEmpty() and results.filter("examples is not null").isEmpty()
+        assert issues.filter((F.col("valley") != u) & (F.col("level") == "record")).isEmpty() and results.filter("examples is not null").isEmpty()
 
 
 def test_keys_split(spark):
@@ -121,27 +120,27 @@ def test_run_id():
 
 
 def test_decode_without_spec(spark, tmp_path):
-    run = check_conformance(spark, fish_spec(), frames(spark, dirty(), tmp_path), rules=["code_not_in_list"])
+    run = check_conformance(spark, mill_spec(), frames(spark, dirty(), tmp_path), rules=["code_not_in_list"])
     assert {i.provider_key_status for i in decode(run.bound, run.issues).collect()} == {"fallback_pk"}  # no ID has an entry
 
 
 def test_flags(spark, tmp_path):
     """Conditions read the caller's flags, of the record's own table or of its parent's in a nested ID's table."""
-    lineage = [{"contributor_label": "*", "table_name": "hauls", "attribute_name": "src_haul_id", "source_text": "net.number + net.side"}]
-    when = [{"contributor_label": "*", "table_name": "hauls", "attribute_name": "src_haul_id", "part_order": "1", "part_source": "boat.number", "when": 'flag.towed == "yes"'}, {"contributor_label": "*", "table_name": "hauls", "attribute_name": "src_haul_id", "part_order": "1", "part_source": "far.number", "when": "is_present(flag.towed)"}]
-    spec = fish_spec(lineage=lineage, lineage_when=when, lineage_separators={"*": "_"}, contributors={"LK": "*", "RV": "*", "RS": "*"})
+    lineage = [{"contributor_label": "*", "table_name": "grinds", "attribute_name": "old_grind_ref", "source_text": "book.page + book.line"}]
+    when = [{"contributor_label": "*", "table_name": "grinds", "attribute_name": "old_grind_ref", "part_order": "1", "part_source": "boat.number", "when": 'flag.towed == "yes"'}, {"contributor_label": "*", "table_name": "grinds", "attribute_name": "old_grind_ref", "part_order": "1", "part_source": "far.number", "when": "is_present(flag.towed)"}]
+    spec = mill_spec(lineage=lineage, lineage_when=when, lineage_separators={"*": "-"}, contributors={"EAST": "*", "NORTH": "*", "WEST": "*"})
     assert not [f for f in spec.findings if f.check == "lineage_when_invalid"]
-    run = check_conformance(spark, spec, frames(spark, dirty(), tmp_path), rules=["code_not_in_list"], group_cols=["water_body"])
-    flags = spark.createDataFrame([("H0", "yes"), ("H3", "no"), ("H5", "yes")], "haul_id string, towed string")
-    got = {i.record_pk: i.provider_key for i in decode(run.bound, run.issues, {"hauls": flags}).collect()}
-    assert (got["H0"], got["H3"], got["H4"]) == ("boat.number=0; net.side=x", "far.number=3; net.side=x", "net.number=4; net.side=x")
-    again = decode(run.bound, run.issues, {"hauls": spark.createDataFrame([("H4", "yes")], flags.schema)})  # flags of an earlier call are gone
-    assert {i.record_pk: i.provider_key.split("=")[0] for i in again.filter("record_pk <> 'H6'").collect()} == {"H0": "net.number", "H3": "net.number", "H4": "boat.number"}
-    for rows_, told in (([("H0", "a"), ("H0", "b")], "more than once"), ([("H99", "a")], "no record"), ([(None, "a")], "no record")):
+    run = check_conformance(spark, spec, frames(spark, dirty(), tmp_path), rules=["code_not_in_list"], group_cols=["valley"])
+    flags = spark.createDataFrame([("G0", "yes"), ("G3", "no"), ("G5", "yes")], "grind_no string, towed string")
+    got = {i.record_pk: i.provider_key for i in decode(run.bound, run.issues, {"grinds": flags}).collect()}
+    assert (got["G0"], got["G3"], got["G4"]) == ("boat.number=0; book.line=w", "far.number=3; book.line=w", "book.page=4; book.line=w")
+    again = decode(run.bound, run.issues, {"grinds": spark.createDataFrame([("G4", "yes")], flags.schema)})  # flags of an earlier call are gone
+    assert {i.record_pk: i.provider_key.split("=")[0] for i in again.filter("record_pk <> 'G6'").collect()} == {"G0": "book.page", "G3": "book.page", "G4": "boat.number"}
+    for rows_, told in (([("G0", "a"), ("G0", "b")], "more than once"), ([("G99", "a")], "no record"), ([(None, "a")], "no record")):
         with pytest.raises(ValueError, match=told):
-            decode(run.bound, run.issues, {"hauls": spark.createDataFrame(rows_, "haul_id string, towed string")})
+            decode(run.bound, run.issues, {"grinds": spark.createDataFrame(rows_, "grind_no string, towed string")})
     with pytest.raises(ValueError, match="a flag"):
-        decode(run.bound, run.issues, {"hauls": flags.select("haul_id")})
+        decode(run.bound, run.issues, {"grinds": flags.select("grind_no")})
     with pytest.raises(ValueError, match="no table"):
         decode(run.bound, run.issues, {"nowhere": flags})
 
@@ -150,8 +149,8 @@ def test_stream(spark, tmp_path):
     from plumbline.streaming.increment import check_stream
 
     frames(spark, dirty(), tmp_path / "in")
-    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in/hauls.parquet")).schema).parquet(str(tmp_path / "in/hauls.parquet"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in/grinds.parquet")).schema).parquet(str(tmp_path / "in/grinds.parquet"))
     got = []
-    query = check_stream(stream, fish_spec(), "hauls", lambda results, issues, n: got.extend(issues.filter("rule_id = 'code_not_in_list'").collect()), str(tmp_path / "check"), available_now=True)
+    query = check_stream(stream, mill_spec(), "grinds", lambda results, issues, n: got.extend(issues.filter("rule_id = 'code_not_in_list'").collect()), str(tmp_path / "check"), available_now=True)
     query.awaitTermination()
-    assert {i.record_pk for i in got} == {"H0", "H3", "H4", "H6"}
+    assert {i.record_pk for i in got} == {"G0", "G3", "G4", "G6"}
