@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from plumbline import queries
@@ -60,3 +61,19 @@ def test_whole_numbers_as_text(spark):
     values = [0.0, -0.0, 5.0, -12.0, 999999999999999.0, 1e15, 1e22, 0.1, -2.5, 123456789.125]
     frame = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r[0] for r in frame.select(V.number_text(F.col("x"))).collect()] == ["0", "0", "5", "-12", "999999999999999", "1000000000000000", "10000000000000000000000", "0.1", "-2.5", "123456789.125"]
+
+
+def test_bound_runs_are_numbered_as_their_sql_does(spark, tmp_path):
+    """Files against the keys' order, a repeated and an unknown key, and balances that are codes or no finite numbers."""
+    balances = [-5.0, 9500.0, -99.0, -88.0, 0.0, -0.0, 9000.0, 9000.01, float("nan"), float("inf"), float("-inf"), None, -1.5, 9999.0]
+    rows = [(n % 37 if n != 10 else None, f"c{n}", n % 5, balances[n % len(balances)], "BUILDING") for n in range(41)]
+    for k, part in enumerate((rows[30:], rows[29:12:-1], rows[:13])):
+        spark.createDataFrame(part, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(str(tmp_path / str(k)))
+    (tmp_path / "customer.parquet").mkdir()
+    for k in range(3):
+        next((tmp_path / str(k)).glob("part-*")).rename(tmp_path / "customer.parquet" / f"{k}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(queries.SQL["bind_two_runs"]).fetchall()
+    got = queries.QUERIES["bind_two_runs"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and {r[1] for r in want} == {1, 2}
